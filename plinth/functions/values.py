@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 # Entries that only say that a value is missing, in lower case and trimmed.
 MISSING = ("", "-", "--", "?", "??", "???", ".", "n/a", "na", "n.a.", "nan", "nil", "none", "null", "tbd", "tba", "to be determined", "unknown", "not available", "missing", "<blank>", "blank")
 
-# The formats in which dates come as text; slashed dates are month first.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyyMMdd", "M/d/yyyy", "d-MMM-yyyy", "MMM d, yyyy")
+# The shapes in which dates come as text, and their formats; slashed dates are month first.
+DATE_FORMATS = {
+    r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd",
+    r"^\d{8}$": "yyyyMMdd",
+    r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
+    r"^\d{1,2}-[A-Za-z]{3}-\d{4}$": "d-MMM-yyyy",
+    r"^[A-Za-z]{3} \d{1,2}, \d{4}$": "MMM d, yyyy",
+}
 
 #: Blanks of any kind, for trimming; Java's \s does not hold the no-break space.
 BLANK = r"[\s\p{Z}\x{FEFF}\x{200B}]"
@@ -43,9 +49,9 @@ def cents(c: Column) -> Column:
 
 
 def day_of_text(c: Column) -> Column:
-    """The calendar day that a text names in one of DATE_FORMATS, a time of day aside; null if none."""
+    """The calendar day that a text names in one of DATE_FORMATS, a time of day aside; null if none. Each text is parsed once."""
     t = F.regexp_replace(present(c), r"[T ]\d{1,2}:\d{2}.*$", "")
-    return F.coalesce(*(F.try_to_date(t, f) for f in DATE_FORMATS))
+    return F.coalesce(*(F.when(t.rlike(shape), F.try_to_date(t, f)) for shape, f in DATE_FORMATS.items()))
 
 
 def fingerprint(*cols: Column) -> Column:
