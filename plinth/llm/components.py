@@ -34,7 +34,9 @@ def _collapsed(parents: DataFrame) -> DataFrame:
     """(node, parent) with every parent a root. A node whose parent's parent is that parent has come to its root."""
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
-        stepped = cut(parents.join(up, "parent").select("node", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved")))
+        stepped = parents.join(up, "parent").select("node", F.col("next").alias("parent"))
+        far = up.select(F.col("parent").alias("p"), F.col("next").alias("n"))
+        stepped = cut(stepped.join(far, F.col("parent") == F.col("p")).select("node", F.col("n").alias("parent"), (F.col("n") != F.col("parent")).alias("moved")))
         parents = stepped.drop("moved")
         if stepped.where("moved").isEmpty():
             return parents
@@ -66,8 +68,12 @@ def groups(members: DataFrame, least: int = 2) -> DataFrame:
     All members that share a hub belong together, also through other hubs; hubs are nodes of their own, so a hub of many members
     costs as many links as it has members. group_id is the smallest member in byte order.
     """
+    pairs = members.where("hub is not null and member is not null").distinct()
+    if least > 1:  # a hub of one member links nothing
+        several = pairs.groupBy("hub").agg(F.min("member").alias("a"), F.max("member").alias("z")).where("a != z").select("hub")
+        pairs = pairs.join(several, "hub", "left_semi")
     # Members sort before hubs, so that hooks rather lead to members.
-    links = members.where("hub is not null and member is not null").select(F.concat(F.lit("m"), "member").alias("a"), F.concat(F.lit("~"), "hub").alias("b"))
+    links = pairs.select(F.concat(F.lit("m"), "member").alias("a"), F.concat(F.lit("~"), "hub").alias("b"))
     found = cut(components(links).where("node like 'm%'").select(F.substring("node", 2, 1 << 30).alias("member"), "component"))
     named = found.groupBy("component").agg(F.min("member").alias("group_id"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return found.join(named, "component").select("group_id", "member")
