@@ -15,13 +15,14 @@ and no median; NaN and infinities count as values and never as finite numbers; a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.values import finite
-from plinth.session import cut
+from plinth.session import cut, small
 
 
 def counts_of(df: DataFrame, columns: dict[str, tuple[Column, Column | None]], load: Column, sign: int = 1) -> DataFrame:
@@ -60,26 +61,33 @@ def metrics(counts: DataFrame) -> DataFrame:
     return folded.withColumns({"null_rate": F.col("n_null") / F.col("n_rows"), "entropy": entropy}).drop("_s", "_nlogn")
 
 
-def medians(counts: DataFrame) -> DataFrame:
-    """Rows (column_name, load, median): the exact median of the finite numbers of each load, weighted by their counts.
+def at_ranks(counts: DataFrame, ranks: Callable[[Column], Column]) -> DataFrame:
+    """Rows (column_name, load, hits, x): the finite numbers that stand at given ranks of each load, weighted by their counts.
 
-    The maintained table is written in range order; an even number of rows has the mean of its two middle ones.
+    ranks(total) is the array of wanted ranks, from 1; hits says how many of them the number x takes. The maintained table is
+    written in range order, so no load is sorted in one task.
     """
     by = ["column_name", "load"]
     numbers = counts.select(*by, finite(F.col("number")).alias("x"), "n").where("x is not null")
     parts = max(8, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = cut(numbers.repartitionByRange(parts, *by, "x").withColumn("part", F.spark_partition_id()))
     sums = ordered.groupBy(*by, "part").agg(F.sum("n").alias("m"))
-    # As many rows as parts and loads together: windows over them stay small at any size.
+    # Per load at most as many rows as there are parts: windows over them stay small at any size.
     whole, sofar = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = sums.withColumns({"total": F.sum("m").over(whole), "below": F.coalesce(F.sum("m").over(sofar), F.lit(0))})
-    ranks = placed.withColumn("rank", F.explode(F.array(F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2))))
-    wanted = ranks.where("below < rank and rank <= below + m").groupBy(*by, "part", "below").agg(F.collect_list("rank").alias("ranks"))
-    held = ordered.join(F.broadcast(wanted), [*by, "part"])
+    wanted = placed.withColumn("rank", F.explode(ranks(F.col("total")))).where("below < rank and rank <= below + m")
+    wanted = wanted.groupBy(*by, "part", "below").agg(F.collect_list("rank").alias("ranks"))
+    held = ordered.join(small(wanted), [*by, "part"])
     run = Window.partitionBy(*by, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     upto = held.groupBy(*by, "part", "below", "ranks", "x").agg(F.sum("n").alias("n")).withColumn("upto", F.col("below") + F.sum("n").over(run))
     hit = upto.withColumn("hits", F.size(F.filter("ranks", lambda r: (r > F.col("upto") - F.col("n")) & (r <= F.col("upto")))))
-    return hit.where("hits > 0").groupBy(*by).agg((F.sum(F.col("x") * F.col("hits")) / F.sum("hits")).alias("median"))
+    return hit.where("hits > 0").select(*by, "hits", "x")
+
+
+def medians(counts: DataFrame) -> DataFrame:
+    """Rows (column_name, load, median): the exact median of each load; an even number of rows has the mean of its two middle ones."""
+    middle = at_ranks(counts, lambda total: F.array(F.floor((total + 1) / 2), F.floor((total + 2) / 2)))
+    return middle.groupBy("column_name", "load").agg((F.sum(F.col("x") * F.col("hits")) / F.sum("hits")).alias("median"))
 
 
 def against_before(per_load: DataFrame, value: str) -> DataFrame:

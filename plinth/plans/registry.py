@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from plinth.plans import training
+from plinth.plans import relational, spatialplans, temporal, textual, training
 
-MODULES = (training,)
+MODULES = (training, relational, temporal, textual, spatialplans)
 
 
 def queries() -> dict[str, Callable]:
