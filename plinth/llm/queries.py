@@ -17,6 +17,7 @@ def _money(c: str):
 
 def _ranked(df: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
     """df with trust_rank of its feed: a fixed table of five rows."""
+    df = df.drop("trust_rank", "written")
     trust = table(spark, sf, "feed_trust").where("feed is not null").groupBy("feed").agg(F.min("trust_rank").alias("trust_rank"))
     return df.join(F.broadcast(trust), "feed", "left")
 
