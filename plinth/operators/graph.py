@@ -109,18 +109,22 @@ def chained(lines: list[list[tuple[float, float]]]) -> list[tuple[float, float]]
         at = chain[-1]
 
 
-def followed(arcs: DataFrame, start, most: int = 10_000) -> DataFrame:
-    """OP-N04: rows (step, node) from start along arcs (u, v), one way out of each node, to the end or the first node met again."""
+def followed(arcs: DataFrame, start) -> DataFrame:
+    """OP-N04: rows (step, node) from start along arcs (u, v), one way out of each node, to the end or the first node met again.
+
+    Path doubling: with the nodes of the first n steps and the map that leads n steps on, one join gives the next n steps and
+    another doubles the map, so a way of n steps takes about log2(n) rounds.
+    """
     spark = arcs.sparkSession
-    arcs.groupBy("u").agg(F.min("v").alias("v")).createOrReplaceTempView("_arcs")
-    kind = arcs.schema["u"].dataType.simpleString()
-    return spark.sql(
-        f"""with recursive walk(step, node, seen) max recursion level {most} as (
-              select 0, cast(:start as {kind}), array(cast(:start as {kind}))
-              union all select step + 1, a.v, array_append(seen, a.v) from walk join _arcs a on a.u = node where not array_contains(seen, a.v))
-            select step, node from walk""",
-        args={"start": start},
-    )
+    leap = cut(arcs.where("u is not null and v is not null").groupBy("u").agg(F.min("v").alias("v")))
+    way, n = cut(spark.range(1).select(F.lit(0).alias("step"), F.lit(start).cast(arcs.schema["u"].dataType).alias("node"))), 1
+    while True:
+        further = way.join(leap, F.col("node") == F.col("u")).select((F.col("step") + n).alias("step"), F.col("v").alias("node"))
+        longer = cut(way.unionByName(further).groupBy("node").agg(F.min("step").alias("step")).select("step", "node"))
+        if longer.count() == way.count():
+            return longer
+        leap = cut(leap.join(leap.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").select("u", F.col("w").alias("v")))
+        way, n = longer, 2 * n
 
 
 def lineages(links: DataFrame) -> DataFrame:
