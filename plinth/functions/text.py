@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Street words and their short forms; directions likewise.
@@ -90,8 +90,11 @@ def unambiguous(candidates: DataFrame, key: str, score: Sequence[Column], far: C
 
     far is the distance of a candidate to the best one, an expression over its columns and those of the struct `best`.
     """
-    w = Window.partitionBy(key)
-    best = candidates.withColumn("best", F.max(F.struct(*score, *candidates.columns)).over(w))
-    level = [F.col("best")[f"col{i + 1}"] for i in range(len(score))]
-    ties = best.where(sum((F.when(s.eqNullSafe(level_i), 0).otherwise(1) for s, level_i in zip(score, level, strict=True)), F.lit(0)) == 0)
-    return ties.groupBy(key, "best").agg(F.max(far).alias("_far")).where(F.col("_far") <= most).select("best.*").drop(*(f"col{i + 1}" for i in range(len(score))))
+    named = [c.alias(f"_s{i}") for i, c in enumerate(score)]
+    scored = candidates.select("*", *named)
+    best = scored.groupBy(key).agg(F.max(F.struct(*(f"_s{i}" for i in range(len(score))), *candidates.columns)).alias("best"))
+    ties = scored.join(best, key)
+    for i in range(len(score)):
+        ties = ties.where(F.col(f"_s{i}").eqNullSafe(F.col(f"best._s{i}")))
+    farthest = ties.groupBy("best").agg(F.max(far).alias("_far")).where(F.col("_far") <= most)
+    return farthest.select(*(F.col(f"best.{c}").alias(c) for c in candidates.columns))

@@ -158,7 +158,9 @@ class Segmenter:
                 if a == '"':
                     if '"' in body.replace('""', "").replace('\\"', ""):
                         break
-                    body = body.replace('\\"', '"').replace('""', '"')
+                    if '"' in body:
+                        item = body.replace('\\"', '"').replace('""', '"').strip()
+                        break  # quotes that were escaped belong to the item
                 item = body.strip()
             elif BRACKETS.get(a) == z:
                 item = item[1:-1].strip()

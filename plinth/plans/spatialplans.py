@@ -70,7 +70,7 @@ def g03_centroid_area(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def g04_label_point(spark: SparkSession, sf: str) -> DataFrame:
     """OP-G04: a point inside each district."""
-    d = table(spark, sf, "ref_community_districts").select("boro_cd", geometry.label_point(geometry.multipolygon(F.col("geojson"))).alias("p"))
+    d = table(spark, sf, "ref_community_districts").select("boro_cd", geometry.label_point("geojson").alias("p"))
     return d.select("boro_cd", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
 
 

@@ -101,7 +101,7 @@ def multipoints(df: DataFrame, geojson: Column, west: float, south: float, east:
 
 def polygons(df: DataFrame, geojson: str) -> DataFrame:
     """OP-S05: polygon rows with a label point (lon, lat) beside the geometry text; rows without a shape are left out."""
-    placed = df.withColumn("_p", geometry.label_point(geometry.multipolygon(F.col(geojson))))
+    placed = df.withColumn("_p", geometry.label_point(geojson))
     return placed.select(*df.columns, F.col("_p.lon").alias("lon"), F.col("_p.lat").alias("lat")).where("lon is not null")
 
 
