@@ -6,8 +6,8 @@ the longest of its character n-grams that the model knows, and in the end to sin
 row make a segment; its confidence is the mean posterior of its language, weighted by words.
 
 The model is fitted on a bounded sample of labelled rows (ROWS_PER_LANGUAGE, spread by a hash of the text over all rows), so its
-size is bounded; labels in the sample may be wrong, so it is counted once by the labels and then REFITS times by what the model
-itself makes of each sentence. Every document is scored in whole.
+size is bounded. Labels in the sample may be wrong, so sentences are first relabelled by what most rows say about their words, and
+then REFITS times by the model itself. Every document is scored in whole.
 
 Defined results: null, empty, blank and wordless texts have no segment; markup is not text; quoted phrases inside a sentence and
 stretches of less than LEAST_WORDS words go with the sentence that they stand in or next to; a tie goes to the first code in
@@ -43,11 +43,28 @@ NOTATIONS = {
 }
 CODES = tuple(NOTATIONS)
 
-ROWS_PER_LANGUAGE, LONGEST_SAMPLE, REFITS = 1500, 20_000, 2
+# Common words of each language, counted SEED times beside the sample, so that a small sample does not go astray.
+COMMON = {
+    "de": "der die das und ist nicht von zu den mit für auf wird noch",
+    "en": "the of and to in is for that with was on will by has",
+    "es": "el los las de que y en por para con no se del más",
+    "fr": "le les des de et en du est pour que dans sur au pas",
+    "it": "il gli di e in per che con non del della è sono più",
+    "ko": "있습니다 않습니다 입니다 합니다 됩니다",
+    "pl": "i w na z do nie się jest że przy już oraz zostaną na",
+    "pt": "o os as de que e em do da para com não foi mais",
+    "ru": "и в на не что с для из это был как уже или во",
+    "uk": "і в на не що з для із це був як вже або та",
+    "zh": "的 了 在 是 和 有 不 为 将 这",
+}
+SEED = 3
+
+ROWS_PER_LANGUAGE, LONGEST_SAMPLE, REFITS = 1500, 20_000, 1
 GRAMS = (4, 3, 2, 1)
 LEAST_WORDS = 3
-#: A smoothed count for words and n-grams that a language does not have, and the weight of an unseen word.
-UNSEEN, GRAM_WEIGHT, BARE_WEIGHT = 0.02, 0.5, 0.2
+#: The weight of the background in a language's shares, of an unseen word, and of a word's form without accents; the least share of a
+#: word's rows that a label counts for when the sample is cleaned, and how far its overall share is taken off there.
+BACKGROUND, GRAM_WEIGHT, BARE_WEIGHT, LEAST_SHARE, LIFT = 1e-3, 0.5, 0.2, 0.02, 0.5
 REMEMBERED = 300_000
 
 _MARKUP = re.compile(r"<[^<>]{1,200}>")
@@ -90,17 +107,17 @@ class Model:
             counts: list[Counter] = [Counter() for _ in CODES]
             for k, c in enumerate(words):
                 for w, x in c.items():
-                    padded = f"^{w}$" if n > 1 else w
-                    for i in range(len(padded) - n + 1):
-                        counts[k][padded[i : i + n]] += x
+                    for g in _grams(w, n):
+                        counts[k][g] += x
             self.grams[n] = self._table(counts)
 
     @staticmethod
     def _table(counts: list[Counter]) -> dict[str, np.ndarray]:
+        """Log shares, smoothed by a common background, so that a small language gains nothing from what it has not seen."""
         every = sorted(set().union(*counts))
-        totals = np.array([sum(c.values()) for c in counts], float)
-        shares = np.array([[c.get(w, 0) for c in counts] for w in every], float).reshape(-1, len(CODES))
-        logs = np.log(shares + UNSEEN) - np.log(totals + UNSEEN * (len(every) + 1))
+        n = np.array([[c.get(w, 0) for c in counts] for w in every], float).reshape(-1, len(CODES))
+        shares = n / np.maximum(n.sum(axis=0), 1e-9)
+        logs = np.log(shares + BACKGROUND * shares.mean(axis=1, keepdims=True))
         return dict(zip(every, logs.astype(np.float32), strict=True))
 
     def word(self, w: str) -> np.ndarray:
@@ -108,8 +125,7 @@ class Model:
         if (s := self.words.get(w)) is not None or (s := self.words.get(bare(w))) is not None:
             return s
         for n in GRAMS:
-            padded = f"^{w}$" if n > 1 else w
-            known = [s for i in range(len(padded) - n + 1) if (s := self.grams[n].get(padded[i : i + n])) is not None]
+            known = [s for g in _grams(w, n) if (s := self.grams[n].get(g)) is not None]
             if known:
                 mean = np.mean(known, axis=0)
                 return (mean * GRAM_WEIGHT).astype(np.float32)
@@ -152,6 +168,7 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
             owner.append(CODES.index(code))
     if not lists:
         return None
+    owner = _cleaned(lists, owner)
     model = Model(_counted(lists, owner))
     for _ in range(REFITS):
         labels = Scorer(model).posteriors(lists).argmax(axis=1)
@@ -159,8 +176,37 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     return model
 
 
+def _cleaned(lists: list[list[str]], owner: list[int]) -> list[int]:
+    """The labels of sentences by what most rows say about their words. Wrong labels are spread over the languages, so they outweigh
+    the right ones of a small language, but never those of the language that the words belong to."""
+    at: dict[str, int] = {}
+    codes = [at.setdefault(w, len(at)) for words in lists for w in words]
+    sizes = [len(x) for x in lists]
+    seeds = [(w, k) for k, c in enumerate(CODES) for w in COMMON[c].split() for _ in range(SEED)]
+    every = [*codes, *(at.setdefault(w, len(at)) for w, _ in seeds)]
+    n = np.zeros((len(at), len(CODES)))
+    np.add.at(n, (every, [*np.repeat(owner, sizes), *(k for _, k in seeds)]), 1)
+    grams: dict[str, int] = {}
+    pairs = [(i, grams.setdefault(g, len(grams))) for w, i in at.items() for g in _grams(w, 3)]
+    of, g = np.array(pairs, int).reshape(-1, 2).T
+    m = np.zeros((len(grams), len(CODES)))
+    np.add.at(m, g, n[of])
+    # Half the lift: a common label is a common wrong label too.
+    base = LIFT * np.log(n.sum(axis=0) / n.sum() + 1e-6)
+    share = lambda x: np.log(x / x.sum(axis=1, keepdims=True) + LEAST_SHARE) - base
+    by_gram = np.zeros_like(n)
+    np.add.at(by_gram, of, share(m)[g])
+    logs = share(n) + by_gram / np.maximum(np.bincount(of, minlength=len(at)), 1)[:, None]
+    return np.add.reduceat(logs[codes], np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int), axis=0).argmax(axis=1).tolist()
+
+
+def _grams(word: str, n: int) -> list[str]:
+    padded = f"^{word}$" if n > 1 else word
+    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+
+
 def _counted(lists: list[list[str]], owner: list[int]) -> list[Counter]:
-    counts: list[Counter] = [Counter() for _ in CODES]
+    counts: list[Counter] = [Counter({w: SEED for w in COMMON[c].split()}) for c in CODES]
     for words, k in zip(lists, owner, strict=True):
         counts[k].update(words)
     for c in counts:
