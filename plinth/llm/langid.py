@@ -67,7 +67,7 @@ LEAST_WORDS = 3
 BACKGROUND, GRAM_WEIGHT, BARE_WEIGHT, LEAST_SHARE, LIFT = 1e-3, 0.5, 0.2, 0.02, 0.5
 REMEMBERED = 300_000
 
-_MARKUP = re.compile(r"<[^<>]{1,200}>")
+_MARKUP = re.compile(r"<[^<>]{1,200}>|\[(?:PAD|CLS|SEP|UNK|MASK)\]")
 _BREAK = re.compile(r"<(?:br|p|/p|div|/div|li|/li|tr|/tr|h\d|/h\d)\b[^<>]*>", re.I)
 _QUOTED = re.compile(r"“[^”\n]{1,200}”|«[^»\n]{1,200}»|„[^“”\n]{1,200}[“”]|(?<!\w)\"[^\"\n]{1,200}\"(?!\w)")
 _END = re.compile(r"[.!?…]+[\"'”»)\]]*(?=\s|$)|[。！？]+[”」』）]*|[\n\r\t\v\f\u2028\u2029]+")
