@@ -33,6 +33,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = _ranked(table(spark, sf, "nyc_capital_rows"), spark, sf).join(written, "fms_id", "left")
     number = F.regexp_replace(trimmed(F.col("fms_id")), r"^\d{3}\s+", "")
     project = F.upper(F.regexp_replace(number, r"[\s\p{Z}_-]+", ""))
+    rows = rows.where(project != "")  # a row without an fms_id is of no known project
     b = survivor.survivors(
         rows, {"project": project},
         [survivor.Bundle("fms_id", F.coalesce("written", F.lit(False))), survivor.Bundle("title", present(F.col("title")).isNotNull()), survivor.Bundle("budget", _money("budget"))],
@@ -121,7 +122,7 @@ _P3 = rf"""
 with a as (select p.*, t.trust_rank, count(*) over (partition by fms_id, reporting_period, pid) as n from project_budget_schedule p left join feed_trust t using (feed)),
 b0 as (select r.*, t.trust_rank, upper(regexp_replace(regexp_replace(trim(r.fms_id), '^\d{{3}}\s+', ''), '[\s_-]+', '', 'g')) as project,
   r.fms_id in (select fms_id from project_budget_schedule where fms_id is not null) as written from nyc_capital_rows r left join feed_trust t using (feed)),
-b as (select *, count(*) over (partition by project) as n from b0)
+b as (select *, count(*) over (partition by project) as n from b0 where project <> '')
 """ + " union all ".join([
     _best("a", "project_budget_schedule", "fms_id, reporting_period, pid", "managing_agency", _says("managing_agency"), "loaded_at"),
     _best("a", "project_budget_schedule", "fms_id, reporting_period, pid", "total_budget", "isfinite(total_budget) and total_budget > 0", "loaded_at"),
