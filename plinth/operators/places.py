@@ -29,15 +29,30 @@ def region_or_nearest(points: DataFrame, point_id: Column, lon: Column, lat: Col
     held = spatial.inside(points, point_id, lon, lat, edges).groupBy("point_id").agg(F.min("ref_id").alias("ref_id"))
     spots = points.select(point_id.alias("point_id"), finite(lon).alias("lon"), finite(lat).alias("lat")).where("lon is not null and lat is not null").distinct()
     left = spots.join(held, "point_id", "left_anti")
+    near = _beside(left, edges, most_m)
+    close = near.groupBy("point_id").agg(F.min(F.struct("d", "ref_id")).alias("m")).select("point_id", "m.ref_id", F.lit("nearest").alias("basis"))
+    return held.select("point_id", "ref_id", F.lit("inside").alias("basis")).unionByName(close)
+
+
+def along_lines(points: DataFrame, point_id: Column, lon: Column, lat: Column, pieces: DataFrame, most_m: float) -> DataFrame:
+    """OP-J15: rows (point_id, ref_id, first_position): points within most_m of a line, with its first piece that comes so close.
+
+    pieces: (ref_id, position, ax, ay, bx, by). Pieces go to the cells that their box, widened by most_m, meets.
+    """
+    spots = points.select(point_id.alias("point_id"), finite(lon).alias("lon"), finite(lat).alias("lat")).where("lon is not null and lat is not null").distinct()
+    near = _beside(spots, pieces, most_m)
+    return near.groupBy("point_id", "ref_id").agg(F.min("position").alias("first_position"))
+
+
+def _beside(spots: DataFrame, edges: DataFrame, most_m: float) -> DataFrame:
+    """spots joined with the edges within most_m of them, and the distance d."""
     cell = max(most_m / M_PER_DEGREE, 0.005)
     pad_y = F.lit(most_m / M_PER_DEGREE)
     pad_x = pad_y / F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("ay"), F.abs("by")) + pad_y)))
     span = lambda a, b, pad: F.sequence(F.floor((F.least(a, b) - pad) / cell), F.floor((F.greatest(a, b) + pad) / cell))
     binned = edges.withColumn("cx", F.explode(span("ax", "bx", pad_x))).withColumn("cy", F.explode(span("ay", "by", pad_y)))
-    placed = left.withColumns({"cx": F.floor(F.col("lon") / cell), "cy": F.floor(F.col("lat") / cell)})
-    near = spatial._bin_join(placed, binned, ["cx", "cy"]).withColumn("d", distance_to_edge_m(F.col("lon"), F.col("lat"))).where(F.col("d") <= most_m)
-    close = near.groupBy("point_id").agg(F.min(F.struct("d", "ref_id")).alias("m")).select("point_id", "m.ref_id", F.lit("nearest").alias("basis"))
-    return held.select("point_id", "ref_id", F.lit("inside").alias("basis")).unionByName(close)
+    placed = spots.withColumns({"cx": F.floor(F.col("lon") / cell), "cy": F.floor(F.col("lat") / cell)})
+    return spatial._bin_join(placed, binned, ["cx", "cy"]).withColumn("d", distance_to_edge_m(F.col("lon"), F.col("lat"))).where(F.col("d") <= most_m)
 
 
 def medoid(points: DataFrame, entity: str, lon: str, lat: str, order: str, most: int = 512) -> DataFrame:

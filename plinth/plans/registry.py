@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from plinth.plans import network, relational, spatialplans, temporal, textual, training
+from plinth.plans import further, network, relational, spatialplans, temporal, textual, training
 
-MODULES = (training, relational, temporal, textual, spatialplans, network)
+MODULES = (training, relational, temporal, textual, spatialplans, network, further)
 
 
 def queries() -> dict[str, Callable]:
