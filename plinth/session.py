@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,21 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per context, so that Python workers can import it wherever they run. Spark's own file
+    server takes it from the driver; executors that join later fetch it as well."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plinth_shipped", False):
+        return
+    root = Path(__file__).parent
+    made = Path(tempfile.mkdtemp(prefix="plinth-")) / "plinth.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(made))
+    sc._plinth_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there: lineage ends and a lost executor costs nothing."""
     shared_dir(df.sparkSession)
