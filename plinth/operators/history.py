@@ -20,8 +20,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plinth.functions.values import fingerprint
-
 OPEN = 999999
 
 

@@ -17,14 +17,14 @@ query = BOOK.query
 
 
 @query("""select o_orderkey from orders where o_orderpriority in ('1-URGENT', '2-HIGH') and o_custkey not in (select c_custkey from customer where c_acctbal < 0)""")
-def p04_in_lists(spark: SparkSession, sf: str) -> DataFrame:
+def op_p04_in_lists(spark: SparkSession, sf: str) -> DataFrame:
     """OP-P04: IN a list and NOT IN a subquery, as an anti join on non-null keys."""
     owing = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
     return table(spark, sf, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).join(owing, "o_custkey", "left_anti").select("o_orderkey")
 
 
 @query("""select s.pid, s.reporting_period, s.row_id from schedule_history s where s.reporting_period = (select max(o.reporting_period) from schedule_history o where o.pid = s.pid)""")
-def p06_correlated_max(spark: SparkSession, sf: str) -> DataFrame:
+def op_p06_correlated_max(spark: SparkSession, sf: str) -> DataFrame:
     """OP-P06: a correlated scalar subquery as an aggregation joined back; a hot schedule is not gathered."""
     h = table(spark, sf, "schedule_history").select("pid", "reporting_period", "row_id")
     top = h.groupBy("pid").agg(F.max("reporting_period").alias("reporting_period"))
@@ -32,7 +32,7 @@ def p06_correlated_max(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""with {IN_TOWN}, seen as (select distinct fms_id from town where lon between -74.05 and -73.95 and lat between 40.65 and 40.75) select row_id from nyc_capital_rows where fms_id in (select fms_id from seen)""")
-def p16_in_view(spark: SparkSession, sf: str) -> DataFrame:
+def op_p16_in_view(spark: SparkSession, sf: str) -> DataFrame:
     """OP-P15, P16: records with any site inside the box in view."""
     seen = town(spark, sf).where(F.col("lon").between(-74.05, -73.95) & F.col("lat").between(40.65, 40.75)).select("fms_id")
     return table(spark, sf, "nyc_capital_rows").join(seen, "fms_id", "left_semi").select("row_id")
@@ -40,7 +40,7 @@ def p16_in_view(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""with base as (select fms_id, max(case when isfinite(total_budget) then total_budget end) as b from project_budget_schedule group by 1), top as (select max(b) as m from base)
 select fms_id, b, b / (select m from top) as of_largest, v.label from base join (values (1e6, 1e8, 'middle'), (1e8, 1e12, 'large')) v(lo, hi, label) on b >= lo and b < hi""")
-def p23_cte_values(spark: SparkSession, sf: str) -> DataFrame:
+def op_p23_cte_values(spark: SparkSession, sf: str) -> DataFrame:
     """OP-P23, J22: a common expression used twice, a scalar from it, and an inline table of ranges as a CASE."""
     base = table(spark, sf, "project_budget_schedule").groupBy("fms_id").agg(F.max(finite(F.col("total_budget"))).alias("b"))
     top = base.agg(F.max("b").alias("m"))

@@ -32,13 +32,13 @@ def a03_latest_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""select fms_id, reporting_period, row_id, feed, current_phase from project_budget_schedule
 qualify row_number() over (partition by fms_id order by reporting_period desc, loaded_at desc, row_id desc) = 1""")
-def p08_latest_record(spark: SparkSession, sf: str) -> DataFrame:
+def op_p08_latest_record(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "project_budget_schedule")
     return latest.latest(df, ["fms_id"], [F.col("reporting_period"), F.col("loaded_at"), F.col("row_id")], ["reporting_period", "row_id", "feed", "current_phase"]).select("fms_id", "reporting_period", "row_id", "feed", "current_phase")
 
 
 @query("""select managing_agency, count(*) as n from project_budget_schedule where reporting_period = (select max(reporting_period) from project_budget_schedule) group by all""")
-def p07_last_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+def op_p07_last_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return latest.in_last_snapshot(table(spark, sf, "project_budget_schedule"), "reporting_period").groupBy("managing_agency").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -277,24 +277,24 @@ def j19_composite_key(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""select point_id, lon, lat from loc_cpdb_points where lon between -74.3 and -73.6 and lat between 40.4 and 41.0""")
-def p02_bounding_box(spark: SparkSession, sf: str) -> DataFrame:
+def op_p02_bounding_box(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "loc_cpdb_points").where(F.col("lon").between(-74.3, -73.6) & F.col("lat").between(40.4, 41.0)).select("point_id", "lon", "lat")
 
 
 @query("""select row_id, case when year(completion_date) between 1990 and 2100 and abs(variance_day) <= 36500 then completion_date end as completion_date,
 coalesce(not (year(completion_date) between 1990 and 2100 and abs(variance_day) <= 36500), false) as implausible from schedule_history""")
-def p09_plausible_dates(spark: SparkSession, sf: str) -> DataFrame:
+def op_p09_plausible_dates(spark: SparkSession, sf: str) -> DataFrame:
     ok = F.year("completion_date").between(1990, 2100) & (F.abs("variance_day") <= 36500)
     return table(spark, sf, "schedule_history").select("row_id", F.when(ok, F.col("completion_date")).alias("completion_date"), F.coalesce(~ok, F.lit(False)).alias("implausible"))
 
 
 @query(f"""select case when lower(trim(managing_agency)) not in {MISSING_SQL} then trim(managing_agency) end as agency, count(*) as n from project_budget_schedule group by 1""")
-def p10_placeholders(spark: SparkSession, sf: str) -> DataFrame:
+def op_p10_placeholders(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "project_budget_schedule").groupBy(present(F.col("managing_agency")).alias("agency")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""select doc_id from documents where regexp_matches(text, '\d+ percent') and text like '%the%' and text not ilike '%council%'""")
-def p19_text_predicates(spark: SparkSession, sf: str) -> DataFrame:
+def op_p19_text_predicates(spark: SparkSession, sf: str) -> DataFrame:
     """OP-P19, P20: regular expression, LIKE and ILIKE."""
     t = F.col("text")
     return table(spark, sf, "documents").where(t.rlike(r"\d+ percent") & t.like("%the%") & ~t.ilike("%council%")).select("doc_id")
@@ -302,7 +302,7 @@ def p19_text_predicates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""select l_orderkey, l_linenumber, coalesce(nullif(l_returnflag, 'N'), '-') || '/' || upper(l_linestatus) as code, cast(round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) as double) as charge,
 case when l_quantity < 10 then 'small' when l_quantity < 30 then 'medium' else 'large' end as size_class, length(l_returnflag) as len, left(cast(l_partkey as varchar), 2) as head from lineitem""")
-def p21_scalar_expressions(spark: SparkSession, sf: str) -> DataFrame:
+def op_p21_scalar_expressions(spark: SparkSession, sf: str) -> DataFrame:
     """OP-P01, P21, P22: computed columns, NULL-propagating concatenation, CASE, casts and string scalars."""
     return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", F.concat(F.coalesce(F.nullif(F.col("l_returnflag"), F.lit("N")), F.lit("-")), F.lit("/"), F.upper("l_linestatus")).alias("code"),
@@ -322,7 +322,7 @@ _BAND_SQL = "case when budget is null or isnan(budget) then null when budget < 1
 
 
 @query("""select row_id from nyc_capital_rows where borough in ('Brooklyn', 'Queens') and list_has_any(managing_agencies, ['DPKS', 'DBLD'])""")
-def p11_faceted_filter(spark: SparkSession, sf: str) -> DataFrame:
+def op_p11_faceted_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nyc_capital_rows").where(facets.matches(_facets(), _STATE)).select("row_id")
 
 
@@ -330,13 +330,13 @@ def p11_faceted_filter(spark: SparkSession, sf: str) -> DataFrame:
 o as (select 'program' as facet, program as option from f where a and b union all select 'borough', borough from f where a union all select 'agency', unnest(list_distinct(managing_agencies)) from f where b
 union all select 'size', size from f where a and b union all select 'tier', tier from f where a and b)
 select facet, option, count(*) as n from o where option is not null group by all""")
-def p13_facet_counts(spark: SparkSession, sf: str) -> DataFrame:
+def op_p13_facet_counts(spark: SparkSession, sf: str) -> DataFrame:
     """OP-P12..P14: option counts of all facets under the other choices."""
     return facets.all_option_counts(table(spark, sf, "nyc_capital_rows"), _facets(), _STATE)
 
 
 @query("""select c.o_orderkey from (select o_orderkey, o_orderkey - 1 as part_of from orders) c where not exists (select 1 from orders o where o.o_orderkey = c.part_of and o.o_orderstatus = 'F') """)
-def p17_counted_once(spark: SparkSession, sf: str) -> DataFrame:
+def op_p17_counted_once(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") - 1).alias("part_of"))
     final = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("part_of"))
     return rows.join(final, "part_of", "left_anti").select("o_orderkey")

@@ -7,6 +7,19 @@ from plinth.functions.values import MISSING
 _MISSING = ", ".join(f"'{x}'" for x in MISSING)
 _BLANK = r"[\s\p{Z}\x{FEFF}\x{200B}]"
 
+_ITEM = r"""(?:"(?:[^"\\]|""|\\.)*"|“[^”]*”|[^{0}"“])+"""
+_TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_CLEAN = "case when length(i) > 1 and left(i, 1) = '\"' and right(i, 1) = '\"' then replace(replace(i[2:-2], '\\\"', '\"'), '\"\"', '\"') when length(i) > 1 and left(i, 1) = '“' and right(i, 1) = '”' then i[2:-2] else i end"
+
+P1 = rf"""
+with src as (select 'mta_lines' as table_name, line_id as row_key, {_TRIM.format("labels")} as t from mta_lines where labels is not null
+  union all select 'project_budget_schedule', cast(row_id as varchar), regexp_replace({_TRIM.format("community_board")}, '\sand\s', ';', 'g') from project_budget_schedule where community_board is not null),
+bare as (select table_name, row_key, regexp_replace(t, '^[\[{{](.*)[\]}}]$', '\1', 's') as t from src),
+raw as (select table_name, row_key, case table_name when 'mta_lines' then regexp_extract_all(t, '{_ITEM.format(";,|" + chr(92) + "t" + chr(92) + "n" + chr(92) + "r")}') else regexp_extract_all(t, '{_ITEM.format(";,|&+/" + chr(92) + "t" + chr(92) + "n" + chr(92) + "r")}') end as x from bare),
+items as (select table_name, row_key, list_filter(list_transform(list_transform(x, lambda i: {_TRIM.format("i")}), lambda i: {_CLEAN}), lambda i: trim(i) <> '') as x from raw)
+select table_name, row_key, cast(pos as integer) as pos, x[pos] as item from (select table_name, row_key, x, unnest(range(1, len(x) + 1)) as pos from items where len(x) > 1)
+"""
+
 P2 = rf"""
 with periods as (select p, lead(p) over (order by p) as q, row_number() over (order by p) as i from (select distinct reporting_period as p from project_budget_schedule where reporting_period is not null)),
 last as (
@@ -107,4 +120,4 @@ select column_name, load, cast(sum(n) as bigint) as n_rows, cast(sum(case when v
 from counts group by all
 """
 
-SQL = {"p2_found": P2, "p4_found": P4, "p5_found": P5, "p7_found": P7, "p7_profile": P7_PROFILE}
+SQL = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p7_found": P7, "p7_profile": P7_PROFILE}
