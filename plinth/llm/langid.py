@@ -217,13 +217,14 @@ def _counted(lists: list[list[str]], owner: list[int]) -> list[Counter]:
 
 
 def sample(df: DataFrame, text: Column, label: Column, per_language: int = ROWS_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """About per_language labelled rows of each language, or all of them if they are fewer, spread over the whole table by hash."""
+    """About per_language labelled rows of each language, or all of them if they are fewer, spread over the whole table by a hash of the
+    text; copies of a text count once."""
     rows = df.select(code_of(label).alias("code"), text.alias("text")).where((F.length("text") > 0) & (F.length("text") <= LONGEST_SAMPLE) & F.col("code").isNotNull())
     counts = {r.code: r["count"] for r in rows.groupBy("code").count().collect()}
     if not counts:
         return []
     shares = F.create_map(*(F.lit(x) for c, n in counts.items() for x in (c, int(min(1.0, per_language / n) * (1 << 30)))))
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < shares[F.col("code")])
+    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < shares[F.col("code")]).distinct()
     return [(r.code, r.text) for r in picked.limit(2 * per_language * len(CODES)).collect()]
 
 
