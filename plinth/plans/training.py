@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plinth.functions.values import cents, day_of_text, finite, present, squeezed
 from plinth.plans import training_sql
 from plinth.operators import history, packed, profile, snapshots, spatial
-from plinth.session import small
+from plinth.session import cut, small
 from plinth.sources.tables import table
 
 #: Entries of the automaton's dictionary of line labels; fields cut the same without them (see packed.whole_values).
@@ -105,6 +105,9 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     known = boards(spark, sf)
     boroughs = sorted(b for b in known if not b[-1].isdigit())
     projects, money, dates = value_counts(spark, sf)
+    # The tables of texts and dates are kept in the shared folder: all that follows reads them instead of the rows.
+    kept = cut(projects.unionByName(dates))
+    projects, dates = kept.where("column_name != 'completion_date'"), kept.where("column_name = 'completion_date'")
 
     def shown(df: DataFrame, kind: str, ref: str = "load") -> DataFrame:
         name = F.col("column_name")
