@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plinth.functions.geometry import M_PER_DEGREE, distance_to_edge_m
 from plinth.functions.values import finite
 from plinth.operators import spatial
+from plinth.session import cut
 
 
 def nearest_within(points: DataFrame, point_id: Column, lon: Column, lat: Column, centres: DataFrame, ref_id: Column, c_lon: Column, c_lat: Column, radius_m: float) -> DataFrame:
@@ -59,10 +60,10 @@ def medoid(points: DataFrame, entity: str, lon: str, lat: str, order: str, most:
     """OP-G05: rows (entity, lon, lat): the point of least total distance to the others of its entity, the first of equals.
 
     The distinct places of an entity are weighed by their number; entities of up to `most` places go through a grouped function in
-    numpy, larger ones take the place nearest to the mean point, which `basis` tells.
+    numpy, larger ones through distributed sums (see _large_medoids). Both are exact: `most` decides where it runs, not what comes out.
     """
     spots = points.groupBy(entity, lon, lat).agg(F.count(F.lit(1)).cast("double").alias("w"), F.min(order).alias("o"))
-    n = spots.groupBy(entity).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col(lon) * F.col("w")) / F.sum("w")).alias("mx"), (F.sum(F.col(lat) * F.col("w")) / F.sum("w")).alias("my"))
+    n = spots.groupBy(entity).agg(F.count(F.lit(1)).alias("n"))
     sized = spots.join(n, entity)
     kind = points.schema[entity].dataType.simpleString()
 
@@ -74,9 +75,46 @@ def medoid(points: DataFrame, entity: str, lon: str, lat: str, order: str, most:
         return pd.DataFrame({entity: [best[entity]], lon: [best[lon]], lat: [best[lat]], "basis": ["medoid"]})
 
     few = sized.where(F.col("n") <= most).groupBy(entity).applyInPandas(central, f"{entity} {kind}, {lon} double, {lat} double, basis string")
-    d = spatial.haversine_m(F.col("mx"), F.col("my"), F.col(lon), F.col(lat))
-    many = sized.where(F.col("n") > most).groupBy(entity).agg(F.min(F.struct(d.alias("d"), F.col("o"), F.col(lon), F.col(lat))).alias("m"))
-    return few.unionByName(many.select(entity, f"m.{lon}", f"m.{lat}", F.lit("nearest to mean").alias("basis")))
+    parts = max(8, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    large = sized.where(F.col("n") > most).select(F.col(entity).alias("e"), F.col("o").alias("point_id"), F.col(lon).alias("lon"), F.col(lat).alias("lat"), "w", "n")
+    large = cut(large.repartition(parts, "e", "lon", "lat"))
+    if large.isEmpty():
+        return few
+    return few.unionByName(_large_medoids(large).select(F.col("e").alias(entity), F.col("lon").alias(lon), F.col("lat").alias(lat), F.lit("medoid").alias("basis")))
+
+
+def _large_medoids(spots: DataFrame) -> DataFrame:
+    """Rows (e, lon, lat) of spots (e, point_id, lon, lat, w, n): the exact medoid of each entity without all pairs of its places.
+
+    An entity's places are folded into cells between quantiles of both coordinates, about 2 n^(1/4) a side. The chord from a
+    candidate to the weighted mean of a cell in space, times the weight of the cell, is never more than the sum of the distances to its places
+    (triangle inequality), so the sum over all cells bounds the candidate's total from below. Candidates whose bound is above the
+    true total of the most promising one drop out; the true totals of the others, over all places, decide. However many are left,
+    the result is the same.
+    """
+    steps = 128
+    at = [i / steps for i in range(1, steps)]
+    quantiles = spots.groupBy("e").agg(F.percentile_approx("lon", at).alias("px"), F.percentile_approx("lat", at).alias("py"), F.sum("w").alias("whole"))
+    side = F.least(F.lit(steps), F.ceil(2 * F.pow("n", F.lit(0.25))))
+    cell = lambda cuts, v: F.floor(F.size(F.filter(cuts, lambda c: c <= F.col(v))) * side / steps)
+    space = [(spatial.EARTH_M * x).alias(n) for x, n in zip(spatial._xyz(F.col("lon"), F.col("lat")), "xyz", strict=True)]
+    binned = spots.join(quantiles, "e").select("e", "w", *space, cell("px", "lon").alias("cx"), cell("py", "lat").alias("cy"))
+    cells = binned.groupBy("e", "cx", "cy").agg(*((F.sum(F.col(n) * F.col("w")) / F.sum("w")).alias(f"m{n}") for n in "xyz"), F.sum("w").alias("held"))
+    chord = F.sqrt(sum((F.pow(F.col(n) - F.col(f"m{n}"), F.lit(2.0)) for n in "xyz"), F.lit(0.0)))
+    pairs = spatial._bin_join(spots.select("e", "point_id", "lon", "lat", *space), cells.drop("cx", "cy"), ["e"])
+    low = cut(pairs.groupBy("e", "point_id", "lon", "lat").agg(F.sum(F.col("held") * chord).alias("low")))
+
+    def totals(candidates: DataFrame) -> DataFrame:
+        named = candidates.select("e", F.col("point_id").alias("c_id"), F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"))
+        d = spatial.haversine_m(F.col("lon"), F.col("lat"), F.col("c_lon"), F.col("c_lat"))
+        return spatial._bin_join(spots, named, ["e"]).groupBy("e", "c_id", "c_lon", "c_lat").agg(F.sum(F.col("w") * d).alias("total"))
+
+    first = low.groupBy("e").agg(F.min(F.struct("low", "point_id", "lon", "lat")).alias("m")).select("e", "m.point_id", "m.lon", "m.lat")
+    # Room for rounding: a tenth of a millimetre for each point, and 1e-9 of the total.
+    most = totals(first).join(quantiles.select("e", "whole"), "e").select("e", (F.col("total") * (1 + 1e-9) + F.col("whole") * 1e-4).alias("most"))
+    left = cut(low.join(most, "e").where(F.col("low") <= F.col("most")))
+    best = totals(left).groupBy("e").agg(F.min(F.struct(F.round("total", 6).alias("d"), F.col("c_id"), F.col("c_lon"), F.col("c_lat"))).alias("m"))
+    return best.select("e", F.col("m.c_lon").alias("lon"), F.col("m.c_lat").alias("lat"))
 
 
 def merged_sites(points: DataFrame, entity: str, lon: str, lat: str, weight: str, order: str, within_m: float = 100.0) -> DataFrame:
