@@ -63,7 +63,7 @@ def n06_sole_tag(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def t07_addresses(spark: SparkSession, sf: str) -> DataFrame:
     """OP-T07: up to three addresses of a text (the feature of the report); only texts with a digit reach Python."""
-    d = table(spark, sf, "documents").where(F.col("text").rlike(r"\d+ [A-Z]")).select("doc_id", textparse.addresses("text").alias("a"))
+    d = table(spark, sf, "documents").where(F.col("text").rlike(r"(?U)\d")).select("doc_id", textparse.addresses("text").alias("a"))
     return d.select("doc_id", F.posexplode("a").alias("pos", "address"))
 
 
