@@ -54,6 +54,9 @@ class HistoryStore:
     manifest in place; readers see the old chains or the new ones, never a mixture. Job failures before the manifest leave the
     store as it was."""
 
+    #: Columns that spread the rows of one bucket over tasks when it is written.
+    spread: tuple[str, ...] = ()
+
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
@@ -84,7 +87,7 @@ class HistoryStore:
     def _commit(self, chains: DataFrame, touched: list[int], before: dict) -> None:
         version = before["version"] + 1
         data = f"{self.folder}/data/{version:012d}-{uuid.uuid4().hex[:8]}"
-        chains.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(data)
+        chains.withColumn("bucket", self._bucket()).repartition("bucket", *self.spread).write.partitionBy("bucket").parquet(data)
         buckets = dict(before["buckets"])
         for b in touched:
             at = f"{data}/bucket={b}"

@@ -3,7 +3,7 @@
 `counts_of` gives the value-count table of a column: one row per load and distinct value with its signed number of rows.
 `apply_deltas` adds the deltas of further loads (or, with sign -1, takes a withdrawn load back) to a maintained table and drops
 what has come to nothing. Everything else is derived from counts alone: null rates, distinct counts, ranges, entropy, exact
-medians, ill-formed values, and what differs from the load before.
+medians, ill-formed values, and what differs from the load before. `CountStore` keeps such a table in the shared folder.
 
 A value-count table has the columns (column_name, load, value, number, n): value is the value as text, number its number where
 it has one. Exact order statistics come from a range partitioning of the distinct numbers: the sums of counts of every part tell
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.values import finite
+from plinth.operators.history import HistoryStore
 from plinth.session import cut, small
 
 
@@ -43,6 +44,26 @@ def apply_deltas(*tables: DataFrame) -> DataFrame:
     return every.groupBy("column_name", "load", "value", "number").agg(F.sum("n").alias("n")).where("n != 0")
 
 
+class CountStore(HistoryStore):
+    """A maintained value-count table in the shared folder, a bucket for each load, with the commits of HistoryStore. Deltas read and
+    write the buckets of their own loads only; a load that comes to nothing leaves."""
+
+    spread = ("column_name", "value", "number")
+
+    def _bucket(self) -> Column:
+        return F.col("load")
+
+    def apply(self, *deltas: DataFrame) -> None:
+        """Add signed deltas in one commit; deltas without rows commit nothing."""
+        before = self.manifest()
+        hit = sorted(r.load for r in reduce(DataFrame.unionByName, deltas).select("load").distinct().collect())
+        if not hit:
+            return
+        held = [before["buckets"][str(b)] for b in hit if str(b) in before["buckets"]]
+        kept = [self.spark.read.schema(before["schema"]).parquet(*held)] if held else []
+        self._commit(apply_deltas(*kept, *deltas), hit, before)
+
+
 def metrics(counts: DataFrame) -> DataFrame:
     """Rows (column_name, load, n_rows, n_null, null_rate, n_distinct, least, most, low, high, entropy): the profile of each load.
 

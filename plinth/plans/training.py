@@ -82,29 +82,40 @@ DATE_RANGE = ("1990-01-01", "2060-12-31")
 SHIFT, FACTOR = 0.15, 5.0
 
 
-def value_counts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The value-count tables of the profiled columns, by source table: the deltas of all loads added to an empty table."""
+def value_counts(spark: SparkSession, sf: str, which: Column | None = None, sign: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The value-count tables of the profiled columns, by source table: the deltas of all loads added to an empty table.
+
+    With a condition on reporting_period they are the signed deltas of those loads, for a CountStore.
+    """
     load = F.col("reporting_period")
-    projects = profile.counts_of(table(spark, sf, "project_budget_schedule"), {c: (F.col(c), None) for c in ("community_board", "borough")}, load)
-    money = profile.counts_of(table(spark, sf, "budget_spend_by_fy"), {"spend": (F.col("spend"), F.col("spend"))}, load)
-    dates = profile.counts_of(table(spark, sf, "schedule_history"), {"completion_date": (F.col("completion_date"), None)}, load)
+    source = lambda name: table(spark, sf, name) if which is None else table(spark, sf, name).where(which)
+    projects = profile.counts_of(source("project_budget_schedule"), {c: (F.col(c), None) for c in ("community_board", "borough")}, load, sign)
+    money = profile.counts_of(source("budget_spend_by_fy"), {"spend": (F.col("spend"), F.col("spend"))}, load, sign)
+    dates = profile.counts_of(source("schedule_history"), {"completion_date": (F.col("completion_date"), None)}, load, sign)
     return projects, money, dates
 
 
-def p7_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """The profile of every load: rates, distinct counts, ranges and entropy."""
-    every = reduce(DataFrame.unionByName, value_counts(spark, sf))
+def stored_counts(store: profile.CountStore) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """value_counts as a store keeps them."""
+    every = store.read()
+    return tuple(every.where(F.col("column_name").isin(*names)) for names in (("community_board", "borough"), ("spend",), ("completion_date",)))
+
+
+def p7_profile(spark: SparkSession, sf: str, store: profile.CountStore | None = None) -> DataFrame:
+    """The profile of every load: rates, distinct counts, ranges and entropy; from the counts of a store where one is given."""
+    every = reduce(DataFrame.unionByName, stored_counts(store) if store else value_counts(spark, sf))
     return profile.metrics(every).select(
         "column_name", "load", "n_rows", "n_null", F.round("null_rate", 6).alias("null_rate"), "n_distinct", "low", "high", F.round("entropy", 4).alias("entropy")
     )
 
 
-def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+def p7_found(spark: SparkSession, sf: str, store: profile.CountStore | None = None) -> DataFrame:
+    """What is wrong in the loads; with a store, rates, shares and medians come from its counts, and ill-formed rows from the tables."""
     source = {"community_board": "project_budget_schedule", "borough": "project_budget_schedule", "spend": "budget_spend_by_fy", "completion_date": "schedule_history"}
     named = F.create_map(*(F.lit(x) for kv in source.items() for x in kv))
     known = boards(spark, sf)
     boroughs = sorted(b for b in known if not b[-1].isdigit())
-    projects, money, dates = value_counts(spark, sf)
+    projects, money, dates = stored_counts(store) if store else value_counts(spark, sf)
     # The tables of texts and dates are kept in the shared folder: all that follows reads them instead of the rows.
     kept = cut(projects.unionByName(dates))
     projects, dates = kept.where("column_name != 'completion_date'"), kept.where("column_name = 'completion_date'")

@@ -5,6 +5,7 @@ from statistics import median
 from pyspark.sql import functions as F
 
 from plinth.operators import profile
+from plinth.plans import training
 
 SCHEMA = "load int, v string, x double, n int"
 
@@ -47,3 +48,22 @@ def test_shifts(spark, rows):
     c = counts(spark.createDataFrame(data, SCHEMA)).where("column_name = 'v'")
     assert rows(profile.share_shifts(c, 0.15)) == [("v", 3)]
     assert rows(profile.share_shifts(c, 0.05)) == [("v", 2), ("v", 3)]
+
+
+def test_stored_counts_load_by_load(spark, rows, tmp_path):
+    """A store that gets one load after the other, a withdrawal and the load again profiles as a recount of everything does."""
+    sf, load = "/root/testdata/sf0.001", F.col("reporting_period")
+    store = profile.CountStore(spark, str(tmp_path / "counts"))
+    loads = sorted({r.load for df in training.value_counts(spark, sf) for r in df.select("load").distinct().collect()})
+    store.apply(*training.value_counts(spark, sf, load < loads[-2]))
+    early = store.manifest()["buckets"]
+    for one in loads[-2:]:
+        store.apply(*training.value_counts(spark, sf, load == one))
+    assert {b: store.manifest()["buckets"][b] for b in early} == early
+    whole = rows(training.p7_profile(spark, sf))
+    assert rows(training.p7_profile(spark, sf, store)) == whole
+    assert rows(training.p7_found(spark, sf, store)) == rows(training.p7_found(spark, sf))
+    store.apply(*training.value_counts(spark, sf, load == loads[-1], -1))
+    assert store.read().where(F.col("load") == loads[-1]).count() == 0 and len(store.manifest()["buckets"]) == len(loads) - 1
+    store.apply(*training.value_counts(spark, sf, load == loads[-1]))
+    assert rows(training.p7_profile(spark, sf, store)) == whole
