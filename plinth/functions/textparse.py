@@ -30,24 +30,32 @@ def addresses_of(text: str | None, most: int = 3) -> list[str]:
     return found[:most]
 
 
+def unit_head(kinds: dict[str, str]) -> str:
+    """The pattern before the first number of units_of, in capitals."""
+    words = "|".join(sorted(map(re.escape, kinds), key=len, reverse=True))
+    return rf"({words})(?:S|ES)?\.?\s*(?:NO\.?|#)?\s*"
+
+
+def may_name_units(text: Column, kinds: dict[str, str]) -> Column:
+    """True for every text in which units_of finds a unit, and for few others: its head and a digit, in the JVM."""
+    return F.upper(text).rlike("(?U)" + unit_head(kinds).replace(r"\s", r"[\s\x1c-\x1f]") + r"\d")
+
+
 def units_of(text: str | None, kinds: dict[str, str]) -> list[tuple[str, int]]:
-    """OP-T10: numbered units (kind, number) in text order, lists and ranges spread: 'Engines 5, 7 & 9' -> three units.
+    """OP-T10: numbered units (kind, number) in text order, lists and ranges of any width spread: 'Engines 5, 7 & 9' -> three units.
 
     kinds: word or abbreviation, without plural -> kind.
     """
-    words = "|".join(sorted(map(re.escape, kinds), key=len, reverse=True))
-    found: list[tuple[str, int]] = []
-    for m in re.finditer(rf"\b({words})(?:S|ES)?\.?\s*(?:NO\.?|#)?\s*(\d{{1,4}}(?:\s*(?:,\s*(?:AND\s+)?|&|AND|/|-|TO|THROUGH)\s*#?\d{{1,4}})*)\b", (text or "").upper()):
+    found: dict[tuple[str, int], None] = {}
+    for m in re.finditer(rf"\b{unit_head(kinds)}(\d{{1,4}}(?:\s*(?:,\s*(?:AND\s+)?|&|AND|/|-|TO|THROUGH)\s*#?\d{{1,4}})*)\b", (text or "").upper()):
         kind = kinds[m[1]]
         last = None
         for joint, number in re.findall(r"(^|-|TO|THROUGH|[,&/]|AND)\s*(?:AND\s+)?#?(\d{1,4})", m[2]):
             n = int(number)
-            spread = range(last + 1, n + 1) if joint in ("-", "TO", "THROUGH") and last is not None and last < n <= last + 50 else (n,)
-            for x in spread:
-                if (kind, x) not in found:
-                    found.append((kind, x))
+            spread = range(last + 1, n + 1) if joint in ("-", "TO", "THROUGH") and last is not None and last < n else (n,)
+            found.update(((kind, x), None) for x in spread)
             last = n
-    return found
+    return list(found)
 
 
 _EXTENT = re.compile(r"\b(?:IN|ON|ALONG|OF|FOR)?\s*((?:[A-Z0-9][\w'.]*\s+){1,4}?" + _KIND + r")\.?\s*[,:(]?\s*(?:FROM|BETWEEN|BTWN|BET)\.?\s+(.+?)\s+(?:TO|AND|&|-)\s+(.+?)(?=[.,;)]|\s+(?:IN|FOR|WITH|ON)\s|$)", re.I)

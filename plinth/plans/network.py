@@ -70,8 +70,9 @@ def t07_addresses(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def t10_units(spark: SparkSession, sf: str) -> DataFrame:
     """OP-T10: numbered items named in minutes."""
-    run = textparse.units({"ITEM": "ITEM", "PID": "PID"})
-    d = table(spark, sf, "documents").where(F.col("text").rlike(r"(?i)\b(item|pid)s? *#?\d")).select("doc_id", F.explode(run("text")).alias("u"))
+    kinds = {"ITEM": "ITEM", "PID": "PID"}
+    run = textparse.units(kinds)
+    d = table(spark, sf, "documents").where(textparse.may_name_units(F.col("text"), kinds)).select("doc_id", F.explode(run("text")).alias("u"))
     return d.select("doc_id", "u.kind", "u.number")
 
 

@@ -12,3 +12,10 @@ def test_addresses_of_all_texts(spark, tmp_path, rows):
     texts = ["at 606  Bobbin Avenue", "at 850\nGorse Court", "at 12 elm street", "at 7\t2nd St.", "at \u0664\u0662 Elm Road", "Elm Street", None, "at 100 Gold St."]
     got = rows(network.t07_addresses(spark, documents(spark, tmp_path, texts)))
     assert got == [("d0", 0, "606 BOBBIN AVENUE"), ("d1", 0, "850 GORSE COURT"), ("d2", 0, "12 ELM STREET"), ("d3", 0, "7 2ND STREET"), ("d4", 0, "\u0664\u0662 ELM ROAD"), ("d7", 0, "100 GOLD STREET")]
+
+
+def test_units_of_all_texts(spark, tmp_path, rows):
+    texts = ["Item no. 5", "Items.\n6", "PID # 7", "itemes\u00a08", "item\x1c9", "no item", None, "Items 5-80 and 3"]
+    got = rows(network.t10_units(spark, documents(spark, tmp_path, texts)))
+    want = [("d0", "ITEM", 5), ("d1", "ITEM", 6), ("d2", "PID", 7), ("d3", "ITEM", 8), ("d4", "ITEM", 9), *(("d7", "ITEM", n) for n in [3, *range(5, 81)])]
+    assert got == want
