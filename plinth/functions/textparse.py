@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -115,17 +116,24 @@ def extents(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [dict(zip(("street", "a", "b"), x, strict=True)) for x in extents_of(t)])
 
 
-def named_parts(titles: DataFrame, key: str, title: Column, parts: DataFrame, part_id: str, name: Column) -> DataFrame:
+def named_parts(titles: DataFrame, key: str, title: Column, parts: DataFrame, part_id: str, name: Column, not_before: Sequence[str] = ()) -> DataFrame:
     """OP-T17: rows (key, part_id): places whose name stands in the title as whole words, without those inside a longer name found.
 
-    Names are looked up by their words: a title's runs of one to five words meet the names by an equi join.
+    Names are looked up by their words: a title's runs of as many words as some name has meet the names by an equi join. A name of
+    which some occurrence stands before a word of not_before ('Gravesend Bay') names another thing and does not count, unless it
+    ends with PARK.
     """
-    words = F.split(F.trim(F.regexp_replace(F.upper(title), "[^A-Z0-9]+", " ")), " ")
-    most = 5
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0))), lambda i: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("_w", i + 1, n), " ").alias("run")))))
+    plain = lambda c: F.trim(F.regexp_replace(F.upper(c), "[^A-Z0-9]+", " "))
+    words = F.split(plain(title), " ")
+    listed = parts.select(F.col(part_id), plain(name).alias("run")).where("run != ''")
+    sizes = sorted(r.n for r in listed.select(F.size(F.split("run", " ")).alias("n")).distinct().collect())
+    lengths = F.array(*map(F.lit, sizes)).cast("array<int>")
+    runs = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0))), lambda i: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("_w", i + 1, n), " ").alias("run"), F.get("_w", i + n).alias("after")))))
     spread = titles.select(F.col(key), words.alias("_w")).select(key, F.size("_w").alias("_s"), F.explode(runs).alias("r")).where("r.i + r.n <= _s").select(key, "r.*")
-    listed = parts.select(F.col(part_id), F.trim(F.regexp_replace(F.upper(name), "[^A-Z0-9]+", " ")).alias("run")).where("run != ''")
     hits = spread.join(listed, "run")
+    if not_before:
+        other = F.coalesce(F.col("after").isin(*(x.upper() for x in not_before)), F.lit(False)) & ~F.endswith("run", F.lit(" PARK"))
+        hits = hits.withColumn("_other", F.max(other).over(Window.partitionBy(key, "run"))).where(~F.col("_other"))
     w = Window.partitionBy(key)
     spans = hits.withColumn("_all", F.collect_set(F.struct("i", "n")).over(w))  # a title has few names
     inner = F.exists("_all", lambda x: (x["i"] <= F.col("i")) & (x["i"] + x["n"] >= F.col("i") + F.col("n")) & (x["n"] > F.col("n")))

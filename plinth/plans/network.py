@@ -79,7 +79,7 @@ def t10_units(spark: SparkSession, sf: str) -> DataFrame:
 @query(r"""with n as (select station_no, trim(regexp_replace(upper(regexp_replace(station, '[0-9]+', '', 'g')), '[^A-Z0-9]+', ' ', 'g')) as name from station_reach), t as (select row_id, ' ' || trim(regexp_replace(upper(title), '[^A-Z0-9]+', ' ', 'g')) || ' ' as w from nyc_capital_rows),
 f as (select station_no, split_part(name, ' ', 1) as name from n) select t.row_id, f.station_no from t join f on f.name <> '' and contains(t.w, ' ' || f.name || ' ')""")
 def t17_named_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-T17: station names that stand in a title as whole words."""
+    """OP-T17 over the first words of station names, as the SQL says: which of them stand in a title as whole words."""
     stations = table(spark, sf, "station_reach").select("station_no", F.split(F.regexp_replace("station", "[0-9]+", ""), " ")[0].alias("name"))
     return textparse.named_parts(table(spark, sf, "nyc_capital_rows").where("title is not null"), "row_id", F.col("title"), stations, "station_no", F.col("name"))
 

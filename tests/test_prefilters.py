@@ -1,5 +1,8 @@
-"""Queries whose JVM filter stands before a parser: no text that the parser knows may be lost to the filter."""
+"""Text queries and parsers in whole: nothing that a text holds may be lost to a filter, a first match or a length."""
 
+from pyspark.sql import functions as F
+
+from plinth.functions import textparse
 from plinth.plans import network
 
 
@@ -19,3 +22,12 @@ def test_units_of_all_texts(spark, tmp_path, rows):
     got = rows(network.t10_units(spark, documents(spark, tmp_path, texts)))
     want = [("d0", "ITEM", 5), ("d1", "ITEM", 6), ("d2", "PID", 7), ("d3", "ITEM", 8), ("d4", "ITEM", 9), *(("d7", "ITEM", n) for n in [3, *range(5, 81)])]
     assert got == want
+
+
+def test_names_of_any_length(spark, rows):
+    titles = spark.createDataFrame([(1, "roof at The Old Mill by the Long Creek East"), (2, "Old Mill"), (3, "Old Mill Bay, Old Mill"), (4, "Elm Park Playground")], "k int, t string")
+    parts = spark.createDataFrame([(1, "The Old Mill by the Long Creek"), (2, "Old Mill"), (3, "Elm Park")], "p int, n string")
+    found = lambda *x: rows(textparse.named_parts(titles, "k", F.col("t"), parts, "p", F.col("n"), *x))
+    assert found() == [(1, 1), (2, 2), (3, 2), (4, 3)]
+    assert found(["Bay", "Playground"]) == [(1, 1), (2, 2), (4, 3)]
+    assert rows(textparse.named_parts(titles, "k", F.col("t"), parts.limit(0), "p", F.col("n"))) == []
