@@ -88,11 +88,19 @@ def j16_token_containment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(r"""with a as (select doc_id, regexp_extract(text, '\$([0-9][0-9,]*)', 1) as m from documents) select doc_id, cast(replace(m, ',', '') as double) as amount from a where m <> ''""")
 def m01_money_in_text(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-M01: amounts written in texts."""
+    """OP-M01: the first amount written in each text, as the SQL says; m01_every_amount has all."""
     m = F.regexp_extract("text", r"\$([0-9][0-9,]*)", 1)
     return table(spark, sf, "documents").select("doc_id", m.alias("m")).where("m != ''").select("doc_id", periods.money(F.col("m")).alias("amount"))
 
 
+@query(r"""with a as (select doc_id, regexp_extract_all(text, '\$([0-9][0-9,]*)', 1) as m from documents), n as (select doc_id, unnest(m) as m, unnest(range(1, len(m) + 1)) as pos from a)
+select doc_id, cast(pos as integer) as pos, cast(replace(m, ',', '') as double) as amount from n""")
+def m01_every_amount(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-M01: every amount written in a text, with its position among them."""
+    m = F.regexp_extract_all("text", F.lit(r"\$([0-9][0-9,]*)"), F.lit(1))
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(m).alias("pos", "m")).select("doc_id", (F.col("pos") + 1).alias("pos"), periods.money(F.col("m")).alias("amount"))
+
+
 _RULES = [(1, "(?i)roof|facade|elevator", "building"), (2, "(?i)sewer|water|culvert|drainage", "water"), (3, "(?i)street|bridge|wall", "street"), (4, "(?i)playground|ball field|comfort", "parks")]
 
 

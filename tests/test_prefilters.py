@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plinth.functions import textparse
-from plinth.plans import network
+from plinth.plans import network, textual
 
 
 def documents(spark, folder, texts):
@@ -31,3 +31,8 @@ def test_names_of_any_length(spark, rows):
     assert found() == [(1, 1), (2, 2), (3, 2), (4, 3)]
     assert found(["Bay", "Playground"]) == [(1, 1), (2, 2), (4, 3)]
     assert rows(textparse.named_parts(titles, "k", F.col("t"), parts.limit(0), "p", F.col("n"))) == []
+
+
+def test_every_amount(spark, tmp_path, rows):
+    sf = documents(spark, tmp_path, ["$5 then $1,200 and $5", "no amount", None, "$7"])
+    assert rows(textual.m01_every_amount(spark, sf)) == [("d0", 1, 5.0), ("d0", 2, 1200.0), ("d0", 3, 5.0), ("d3", 1, 7.0)]
