@@ -13,9 +13,6 @@ from plinth.operators import history, packed, profile, snapshots, spatial
 from plinth.session import cut, small
 from plinth.sources.tables import table
 
-#: Entries of the automaton's dictionary of line labels; fields cut the same without them (see packed.whole_values).
-LABEL_DICTIONARY = 20_000
-
 
 def boards(spark: SparkSession, sf: str) -> frozenset[str]:
     """Citywide, the boroughs, and the boroughs with the two-digit numbers of their districts: 59 rows of a fixed table."""
@@ -24,10 +21,11 @@ def boards(spark: SparkSession, sf: str) -> frozenset[str]:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels by the dictionary that their own quoted values make, boards by the fixed table of districts."""
     lines, projects = table(spark, sf, "mta_lines"), table(spark, sf, "project_budget_schedule")
-    labels = packed.with_known(packed.LABELS, packed.whole_values(lines, F.col("labels"), packed.LABELS, LABEL_DICTIONARY))
+    dictionary = packed.learned(lines, F.col("labels"), packed.LABELS)
     known = packed.with_known(packed.BOARDS, boards(spark, sf))
-    a = packed.items(lines, F.col("line_id"), F.col("labels"), labels, 2).select(F.lit("mta_lines").alias("table_name"), "*")
+    a = packed.items(lines, F.col("line_id"), F.col("labels"), packed.LABELS, 2, dictionary).select(F.lit("mta_lines").alias("table_name"), "*")
     b = packed.items(projects, F.col("row_id"), F.col("community_board"), known, 2).select(F.lit("project_budget_schedule").alias("table_name"), "*")
     return a.unionByName(b)
 

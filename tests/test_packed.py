@@ -50,10 +50,27 @@ def test_frame(spark, rows):
     assert rows(got) == sorted([("1", 1, "Weir"), ("1", 1, "Weir"), ("1", 2, "Old Basin"), ("1", 2, "Old Basin"), ("4", 1, "Weir"), (None, 1, "a"), (None, 2, "b")], key=lambda r: (r[0] is not None, str(r[0]), r[1]))
     assert packed.items(df, F.col("id"), F.col("labels"), packed.LABELS, 2).count() == 6
     assert packed.items(df.limit(0), F.col("id"), F.col("labels"), packed.LABELS, 2).count() == 0
-    assert packed.whole_values(df, F.col("labels"), packed.LABELS, 10) == {"Weir"}
+    assert packed.learned(df.limit(0), F.col("labels"), packed.LABELS).count() == 0
 
 
-def test_dictionary_bound_changes_nothing(spark, rows):
-    df = spark.read.parquet("/root/testdata/sf0.001/mta_lines.parquet")
-    cut = lambda n: rows(packed.items(df, F.col("line_id"), F.col("labels"), packed.with_known(packed.LABELS, packed.whole_values(df, F.col("labels"), packed.LABELS, n)), 2))
-    assert cut(0) == cut(1000) != []
+LEARNING = [(1, '"Signal Hill, Express"; Weir'), (2, "Weir, Signal Hill, Express | Cooper"), (3, "Signal Hill, Expressway"), (4, '“Mill; St” ; "Plain"'), (5, "Mill; St;Weir"), (6, '"say \\"Weir, now\\"";A'), (7, None), (8, '","'), (9, '"Mill; St"'), (10, "A;B")]
+
+
+def learning(spark):
+    return spark.createDataFrame(LEARNING, "id int, labels string")
+
+
+def test_dictionary_learned_from_quoted_values_protects_them(spark, rows):
+    df = learning(spark)
+    words = packed.learned(df, F.col("labels"), packed.LABELS)
+    assert rows(words) == [("Mill; St",), ("Signal Hill, Express",), ('say "Weir, now"',)]
+    cut = lambda d: {k: [x[2] for x in rows(packed.items(df.where(f"id = {k}"), F.col("id"), F.col("labels"), packed.LABELS, 1, d))] for k in (2, 3, 5)}
+    assert cut(words) == {2: ["Weir", "Signal Hill, Express", "Cooper"], 3: ["Signal Hill", "Expressway"], 5: ["Mill; St", "Weir"]}
+    assert cut(None) == cut(words.limit(0)) == {2: ["Weir", "Signal Hill", "Express", "Cooper"], 3: ["Signal Hill", "Expressway"], 5: ["Mill", "St", "Weir"]}
+
+
+def test_dictionary_in_parts_cuts_alike(spark, rows, monkeypatch):
+    df = learning(spark).unionByName(learning(spark))
+    whole = rows(packed.items(df, F.col("id"), F.col("labels"), packed.LABELS, 1, packed.learned(df, F.col("labels"), packed.LABELS)))
+    monkeypatch.setattr(packed, "DICTIONARY_BYTES", 15)
+    assert rows(packed.items(df, F.col("id"), F.col("labels"), packed.LABELS, 1, packed.learned(df, F.col("labels"), packed.LABELS))) == whole
