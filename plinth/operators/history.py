@@ -1,9 +1,10 @@
 """History of changing attributes: versions with their period of validity, kept by affected-chain rebuild.
 
-The raw deliveries of an entity make its chain. When deliveries come late or correct earlier ones, only the entities they
-touch are read again: all their raw rows are retrieved, their chains rebuilt from nothing, and put in the place of the old
-chains in one commit. `versions` builds chains, `rebuild_affected` is the update as one plan, `HistoryStore` keeps chains in
-the shared folder with an atomic commit.
+The deliveries of an entity make its chain. `HistoryStore` keeps, in buckets of entities in the shared folder, what counts of them
+(the last delivered row of every entity and period) beside the chains built from it. When deliveries come late or correct earlier
+ones, only the entities that they touch are taken up again: their raw changes are retrieved from their buckets, the new deliveries
+are added, their chains are rebuilt from nothing, and one commit puts them in the place of the old chains. Buckets without a touched
+entity are neither read nor written. `versions` builds chains from rows, `rebuild_affected` is the update as one plan.
 
 Defined results: rows without an entity or period belong to no chain; of a period the last delivered row counts; ties of
 delivery go to the larger tie-break; repeated rows change nothing; an entity that only reports nulls has one version of nulls;
@@ -13,24 +14,36 @@ most as many rows as there are periods.
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plinth.operators.store import Files, Store, bucket_of, schema_of
+
 OPEN = 999999
 
 
-def versions(raw: DataFrame, entity: Column, period: Column, order: Sequence[Column], exact: dict[str, Column], kept: dict[str, Column]) -> DataFrame:
-    """Rows (entity, valid_from, valid_to, values...) of every version.
+def last_delivered(raw: DataFrame, entity: Column, period: Column, order: Sequence[Column], values: dict[str, Column]) -> DataFrame:
+    """Rows (entity, period, v): the last delivered row of every entity and period, as a struct of its order and values."""
+    v = F.struct(*(c.alias(f"_o{i}") for i, c in enumerate(order)), *(c.alias(n) for n, c in values.items()))
+    return merged(raw.select(entity.alias("entity"), period.alias("period"), v.alias("v")).where("entity is not null and period is not null"))
+
+
+def merged(*rows: DataFrame) -> DataFrame:
+    """One table of last delivered rows from several, or from rows of the same shape."""
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    return every.groupBy("entity", "period").agg(F.max("v").alias("v"))
+
+
+def chains_of(last: DataFrame, exact: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """Rows (entity, valid_from, valid_to, values...) of every version, from last delivered rows.
 
     exact: values that count as reported, null included; kept: values of which a null keeps the one reported before.
     """
     names = [*exact, *kept]
-    rows = raw.select(entity.alias("entity"), period.alias("period"), F.struct(*order, *(c.alias(n) for n, c in {**exact, **kept}.items())).alias("v"))
-    last = rows.where("entity is not null and period is not null").groupBy("entity", "period").agg(F.max("v").alias("v"))
     chain = Window.partitionBy("entity").orderBy("period")
     sofar = chain.rowsBetween(Window.unboundedPreceding, 0)
     filled = last.select("entity", "period", *(F.col(f"v.{n}").alias(n) for n in exact), *(F.last(F.col(f"v.{n}"), ignorenulls=True).over(sofar).alias(n) for n in kept))
@@ -39,6 +52,11 @@ def versions(raw: DataFrame, entity: Column, period: Column, order: Sequence[Col
     return starts.select("entity", F.col("period").alias("valid_from"), F.coalesce(F.lead("period").over(chain), F.lit(OPEN)).alias("valid_to"), *names)
 
 
+def versions(raw: DataFrame, entity: Column, period: Column, order: Sequence[Column], exact: dict[str, Column], kept: dict[str, Column]) -> DataFrame:
+    """Rows (entity, valid_from, valid_to, values...) of every version, from deliveries at once."""
+    return chains_of(last_delivered(raw, entity, period, order, {**exact, **kept}), list(exact), list(kept))
+
+
 def rebuild_affected(chains: DataFrame, raw: DataFrame, touched: DataFrame, build) -> DataFrame:
     """chains with those of the touched entities rebuilt from all their raw rows. touched: (entity), distinct.
 
@@ -49,73 +67,57 @@ def rebuild_affected(chains: DataFrame, raw: DataFrame, touched: DataFrame, buil
     return chains.join(touched, "entity", "left_anti").unionByName(redone)
 
 
-class HistoryStore:
-    """Chains in hash buckets under a shared folder. A commit writes the buckets that hold touched entities anew and then puts one
-    manifest in place; readers see the old chains or the new ones, never a mixture. Job failures before the manifest leave the
-    store as it was."""
-
-    #: Columns that spread the rows of one bucket over tasks when it is written.
-    spread: tuple[str, ...] = ()
-
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("entity"), F.lit(self.buckets)).cast("int")
-
-    def manifest(self) -> dict:
-        """{"version": n, "buckets": {bucket: folder}} of the last commit."""
-        at = self._path(f"{self.folder}/_manifests")
-        if not self._fs.exists(at):
-            return {"version": 0, "buckets": {}}
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)]
-        last = max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
-        if not last:
-            return {"version": 0, "buckets": {}}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/_manifests/{last:012d}.json").collect()))
-
-    def read(self) -> DataFrame | None:
-        """All chains, or None before the first commit."""
-        m = self.manifest()
-        if not m["buckets"]:
-            return None
-        return self.spark.read.schema(m["schema"]).parquet(*sorted(set(m["buckets"].values())))
-
-    def _commit(self, chains: DataFrame, touched: list[int], before: dict) -> None:
-        version = before["version"] + 1
-        data = f"{self.folder}/data/{version:012d}-{uuid.uuid4().hex[:8]}"
-        chains.withColumn("bucket", self._bucket()).repartition("bucket", *self.spread).write.partitionBy("bucket").parquet(data)
-        buckets = dict(before["buckets"])
-        for b in touched:
-            at = f"{data}/bucket={b}"
-            if self._fs.exists(self._path(at)):
-                buckets[str(b)] = at
-            else:
-                buckets.pop(str(b), None)
-        text = json.dumps({"version": version, "buckets": buckets, "schema": chains.schema.simpleString()[7:-1].replace(":", " ")})
-        draft, final = self._path(f"{self.folder}/_manifests/.{version}-{uuid.uuid4().hex[:8]}"), self._path(f"{self.folder}/_manifests/{version:012d}.json")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            raise RuntimeError(f"another writer has committed version {version}")
-
-    def create(self, chains: DataFrame) -> None:
-        """The first commit, or a full replacement."""
-        self._commit(chains, list(range(self.buckets)), self.manifest())
-
-    def update(self, raw: DataFrame, touched: DataFrame, build) -> None:
-        """Affected-chain rebuild: buckets without a touched entity are neither read nor written."""
+class HistoryStore(Store):
+    """Last delivered rows and chains of entities. The number of buckets is set when the store is created and stays."""
+
+    def __init__(self, spark: SparkSession, folder: str, exact: Sequence[str], kept: Sequence[str], buckets: int = 64):
+        super().__init__(spark, folder)
+        self.exact, self.kept, self.buckets = list(exact), list(kept), buckets
+
+    def chains(self) -> DataFrame | None:
+        """All chains, or None while there are none."""
+        return self.read("chains")
+
+    def create(self, last: DataFrame, sources: dict[str, Files] | None = None) -> None:
+        """The first commit, or a full replacement, from last delivered rows."""
+        before = self.manifest()
+        rows = self.write(last.withColumn("bucket", bucket_of(F.col("entity"), self.buckets)))
+        shape = schema_of(last)
+        held = self.written(shape, rows)
+        built = chains_of(last if held is None else held, self.exact, self.kept)
+        made = self.write(built.withColumn("bucket", bucket_of(F.col("entity"), self.buckets)))
+        self.commit(before, {"last": (shape, rows, None), "chains": (schema_of(built), made, None)}, sources, {"buckets": self.buckets})
+
+    def deliver(self, new: DataFrame, sources: dict[str, Files] | None = None) -> None:
+        """Affected-chain rebuild: last delivered rows of a new delivery go in, and the chains of the entities in it are rebuilt."""
         before = self.manifest()
-        hit = sorted(r.b for r in touched.select(self._bucket().alias("b")).distinct().collect())
+        if not before["tables"].get("last", {}).get("buckets"):
+            return self.create(new, sources)
+        n = before["more"]["buckets"]
+        staged = self.write(new.withColumn("bucket", bucket_of(F.col("entity"), n)))
+        hit = sorted(staged)
+        shape = schema_of(new)
         if not hit:
-            return
-        held = [before["buckets"][str(b)] for b in hit if str(b) in before["buckets"]]
-        redone = build(raw.join(touched, "entity", "left_semi"))
-        chains = redone
-        if held:
-            chains = self.spark.read.schema(before["schema"]).parquet(*held).join(touched, "entity", "left_anti").unionByName(redone)
-        self._commit(chains, hit, before)
+            return self.commit(before, {}, sources)
+        coming = self.written(shape, staged)
+        touched = coming.select("entity").distinct()
+        held, old = self.read("last", hit, before), self.read("chains", hit, before)
+        rows = self.write((merged(coming) if held is None else merged(held, coming)).withColumn("bucket", bucket_of(F.col("entity"), n)))
+        affected = self.written(shape, rows).join(touched, "entity", "left_semi")
+        redone = chains_of(affected, self.exact, self.kept)
+        every = redone if old is None else old.join(touched, "entity", "left_anti").unionByName(redone)
+        made = self.write(every.withColumn("bucket", bucket_of(F.col("entity"), n)))
+        return self.commit(before, {"last": (shape, rows, hit), "chains": (schema_of(redone), made, hit)}, sources)
+
+    def withdraw(self, entities: DataFrame) -> None:
+        """Take entities out with their rows and chains. entities: (entity), distinct."""
+        before = self.manifest()
+        n = before["more"].get("buckets", self.buckets)
+        hit = sorted(r.b for r in entities.select(bucket_of(F.col("entity"), n).alias("b")).distinct().collect())  # at most as many as buckets
+        tables = {}
+        for name in ("last", "chains"):
+            if (held := self.read(name, hit, before)) is not None:
+                left = self.write(held.join(entities, "entity", "left_anti").withColumn("bucket", bucket_of(F.col("entity"), n)))
+                tables[name] = (schema_of(held), left, hit)
+        if tables:
+            self.commit(before, tables)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.geometry import M_PER_DEGREE, distance_to_edge_m
 from plinth.functions.values import finite
-from plinth.operators import spatial
+from plinth.operators import ranks, spatial
 from plinth.session import cut
 
 
@@ -175,6 +175,6 @@ def grid_over(edges: DataFrame, step: float) -> DataFrame:
 def agreement(a: DataFrame, b: DataFrame, key: str, within_m: float) -> DataFrame:
     """OP-C22, A27: one row (n, median_m, close_pct): how far two placements (key, lon, lat) of the same things lie apart."""
     both = a.alias("a").join(b.alias("b"), key).select(spatial.haversine_m(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")).alias("d"))
-    return both.agg(F.count("d").alias("n"), F.round(F.percentile("d", F.lit(0.5)), 3).alias("median_m"), (F.lit(100.0) * F.count_if(F.col("d") <= within_m) / F.count("d")).alias("close_pct"))
-
-
+    middle = ranks.at(both, [], F.col("d"), ranks.middle).agg(F.round(F.sum(F.col("x") * F.col("hits")) / F.sum("hits"), 3).alias("median_m"))
+    share = both.agg(F.count("d").alias("n"), (F.lit(100.0) * F.count_if(F.col("d") <= within_m) / F.count("d")).alias("close_pct"))
+    return share.join(F.broadcast(middle)).select("n", "median_m", "close_pct")  # one row beside one row

@@ -6,8 +6,7 @@ what has come to nothing. Everything else is derived from counts alone: null rat
 medians, ill-formed values, and what differs from the load before. `CountStore` keeps such a table in the shared folder.
 
 A value-count table has the columns (column_name, load, value, number, n): value is the value as text, number its number where
-it has one. Exact order statistics come from a range partitioning of the distinct numbers: the sums of counts of every part tell
-which part holds the wanted rank, and only that part is ordered, so no load is ever gathered in one task.
+it has one. Exact order statistics are those of plinth.operators.ranks over the counts, so no load is ever gathered in one task.
 
 Defined results: nulls are a value of their own; rows without a load belong to none; a load of nulls only has rate 1, no range
 and no median; NaN and infinities count as values and never as finite numbers; an empty table has no loads.
@@ -15,15 +14,14 @@ and no median; NaN and infinities count as values and never as finite numbers; a
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.values import finite
-from plinth.operators.history import HistoryStore
-from plinth.session import cut, small
+from plinth.operators import ranks
+from plinth.operators.store import Files, Store
 
 
 def counts_of(df: DataFrame, columns: dict[str, tuple[Column, Column | None]], load: Column, sign: int = 1) -> DataFrame:
@@ -36,32 +34,41 @@ def counts_of(df: DataFrame, columns: dict[str, tuple[Column, Column | None]], l
     return rows.groupBy("c.column_name", "load", "c.value", "c.number").agg((F.count(F.lit(1)) * sign).alias("n"))
 
 
-def apply_deltas(*tables: DataFrame) -> DataFrame:
-    """A maintained value-count table and the signed deltas of loads, added up; values that come to nothing leave."""
-    if len(tables) == 1:
+def apply_deltas(*tables: DataFrame, alone: bool = False) -> DataFrame:
+    """A maintained value-count table and the signed deltas of loads, added up; values that come to nothing leave. alone: a single
+    table may hold several deltas, so it is added up too."""
+    if len(tables) == 1 and not alone:
         return tables[0]
     every = reduce(DataFrame.unionByName, tables)
     return every.groupBy("column_name", "load", "value", "number").agg(F.sum("n").alias("n")).where("n != 0")
 
 
-class CountStore(HistoryStore):
-    """A maintained value-count table in the shared folder, a bucket for each load, with the commits of HistoryStore. Deltas read and
-    write the buckets of their own loads only; a load that comes to nothing leaves."""
+class CountStore(Store):
+    """A maintained value-count table in the shared folder, a bucket for each column and load. Deltas read and write the buckets of
+    their own columns and loads only; a bucket that comes to nothing leaves."""
 
-    spread = ("column_name", "value", "number")
+    SHAPE = "column_name string, load bigint, value string, number double, n bigint"
 
-    def _bucket(self) -> Column:
-        return F.col("load")
+    def counts(self, *columns: str) -> DataFrame:
+        """The counts of some columns, or of all."""
+        m = self.manifest()
+        held = m["tables"].get("counts", {"buckets": {}})["buckets"]
+        some = [b for b in held if not columns or b.rpartition("-")[0] in columns]
+        found = self.read("counts", some, m) if some else None
+        return self.spark.createDataFrame([], self.SHAPE) if found is None else found
 
-    def apply(self, *deltas: DataFrame) -> None:
-        """Add signed deltas in one commit; deltas without rows commit nothing."""
+    def apply(self, *deltas: DataFrame, sources: dict[str, Files] | None = None) -> None:
+        """Add signed deltas in one commit. They are written first, so that each is computed once and names its buckets."""
         before = self.manifest()
-        hit = sorted(r.load for r in reduce(DataFrame.unionByName, deltas).select("load").distinct().collect())
-        if not hit:
-            return
-        held = [before["buckets"][str(b)] for b in hit if str(b) in before["buckets"]]
-        kept = [self.spark.read.schema(before["schema"]).parquet(*held)] if held else []
-        self._commit(apply_deltas(*kept, *deltas), hit, before)
+        held = before["tables"].get("counts", {"buckets": {}})["buckets"]
+        bucket = F.concat_ws("-", "column_name", F.col("load").cast("string"))
+        shaped = [d.select(F.col("column_name"), F.col("load").cast("bigint"), "value", F.col("number").cast("double"), F.col("n").cast("bigint")) for d in deltas]
+        new = self.write(reduce(DataFrame.unionByName, shaped).withColumn("bucket", bucket)) if shaped else {}
+        hit = sorted(new)
+        if len(deltas) > 1 or any(b in held for b in hit):
+            parts = [self.written(self.SHAPE, new), self.read("counts", hit, before)] if hit else []
+            new = self.write(apply_deltas(*(p for p in parts if p is not None), alone=True).withColumn("bucket", bucket)) if hit else {}
+        self.commit(before, {"counts": (self.SHAPE, new, hit)}, sources)
 
 
 def metrics(counts: DataFrame) -> DataFrame:
@@ -82,32 +89,9 @@ def metrics(counts: DataFrame) -> DataFrame:
     return folded.withColumns({"null_rate": F.col("n_null") / F.col("n_rows"), "entropy": entropy}).drop("_s", "_nlogn")
 
 
-def at_ranks(counts: DataFrame, ranks: Callable[[Column], Column]) -> DataFrame:
-    """Rows (column_name, load, hits, x): the finite numbers that stand at given ranks of each load, weighted by their counts.
-
-    ranks(total) is the array of wanted ranks, from 1; hits says how many of them the number x takes. The maintained table is
-    written in range order, so no load is sorted in one task.
-    """
-    by = ["column_name", "load"]
-    numbers = counts.select(*by, finite(F.col("number")).alias("x"), "n").where("x is not null")
-    parts = max(8, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = cut(numbers.repartitionByRange(parts, *by, "x").withColumn("part", F.spark_partition_id()))
-    sums = ordered.groupBy(*by, "part").agg(F.sum("n").alias("m"))
-    # Per load at most as many rows as there are parts: windows over them stay small at any size.
-    whole, sofar = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sums.withColumns({"total": F.sum("m").over(whole), "below": F.coalesce(F.sum("m").over(sofar), F.lit(0))})
-    wanted = placed.withColumn("rank", F.explode(ranks(F.col("total")))).where("below < rank and rank <= below + m")
-    wanted = wanted.groupBy(*by, "part", "below").agg(F.collect_list("rank").alias("ranks"))
-    held = ordered.join(small(wanted), [*by, "part"])
-    run = Window.partitionBy(*by, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    upto = held.groupBy(*by, "part", "below", "ranks", "x").agg(F.sum("n").alias("n")).withColumn("upto", F.col("below") + F.sum("n").over(run))
-    hit = upto.withColumn("hits", F.size(F.filter("ranks", lambda r: (r > F.col("upto") - F.col("n")) & (r <= F.col("upto")))))
-    return hit.where("hits > 0").select(*by, "hits", "x")
-
-
 def medians(counts: DataFrame) -> DataFrame:
     """Rows (column_name, load, median): the exact median of each load; an even number of rows has the mean of its two middle ones."""
-    middle = at_ranks(counts, lambda total: F.array(F.floor((total + 1) / 2), F.floor((total + 2) / 2)))
+    middle = ranks.at(counts, ["column_name", "load"], F.col("number"), ranks.middle, F.col("n"))
     return middle.groupBy("column_name", "load").agg((F.sum(F.col("x") * F.col("hits")) / F.sum("hits")).alias("median"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.values import finite, present
-from plinth.operators import areas, facets, latest, profile, rules
+from plinth.operators import areas, facets, latest, ranks, rules
 from plinth.plans.book import Book
 from plinth.sources.tables import table
 
@@ -68,13 +68,14 @@ def a07_distinct_tuples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""select year(o_orderdate) * 100 + month(o_orderdate) as load, median(o_totalprice) as median from orders group by 1""")
 def a10_exact_median(spark: SparkSession, sf: str) -> DataFrame:
-    counts = profile.counts_of(table(spark, sf, "orders"), {"price": (F.col("o_totalprice"), F.col("o_totalprice"))}, yyyymm("o_orderdate"))
-    return profile.medians(counts).select("load", "median")
+    orders = table(spark, sf, "orders").select(yyyymm("o_orderdate").alias("load"), "o_totalprice")
+    found = ranks.at(orders, ["load"], F.col("o_totalprice"), ranks.middle)
+    return found.groupBy("load").agg((F.sum(F.col("x") * F.col("hits")) / F.sum("hits")).alias("median"))
 
 
 @query("""select o_orderpriority, quantile_cont(o_totalprice, 0.25) as q1, quantile_cont(o_totalprice, 0.75) as q3 from orders group by 1""")
 def a10_exact_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.percentile("o_totalprice", F.lit(0.25)).alias("q1"), F.percentile("o_totalprice", F.lit(0.75)).alias("q3"))
+    return ranks.quantiles(table(spark, sf, "orders"), ["o_orderpriority"], F.col("o_totalprice"), {"q1": 0.25, "q3": 0.75})
 
 
 @query("""select fms_id, string_agg(distinct feed, ', ' order by feed) as feeds from project_budget_schedule group by 1""")
@@ -203,10 +204,8 @@ def a34_mode_with_tie(spark: SparkSession, sf: str) -> DataFrame:
 select l_suppkey, max(v) filter (i = cast(floor(0.9 * (n - 1)) as bigint) + 1) as cap from s group by 1""")
 def a35_nearest_rank_cap(spark: SparkSession, sf: str) -> DataFrame:
     """OP-A35: the value of rank floor(0.9 * (n - 1)), from 0, without ordering a supplier's lines in one task."""
-    price = F.col("l_extendedprice")
-    counts = profile.counts_of(table(spark, sf, "lineitem"), {"price": (price, price)}, F.col("l_suppkey"))
-    found = profile.at_ranks(counts, lambda n: F.array(F.floor(F.lit(0.9) * (n - 1)) + 1))
-    return found.select(F.col("load").alias("l_suppkey"), F.col("x").alias("cap"))
+    found = ranks.at(table(spark, sf, "lineitem"), ["l_suppkey"], F.col("l_extendedprice"), lambda n: F.array(F.floor(F.lit(0.9) * (n - 1)) + 1))
+    return found.select("l_suppkey", F.col("x").alias("cap"))
 
 
 # Joins

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plinth.functions.values import cents, day_of_text, finite, present, squeezed
 from plinth.plans import training_sql
 from plinth.operators import history, packed, profile, snapshots, spatial
+from plinth.operators.store import Files, Store, files_of, kept_at, news
 from plinth.session import cut, small
 from plinth.sources.tables import table
 
@@ -50,12 +51,13 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return pick(reach, "reach").unionByName(pick(within, "district"))
 
 
-def project_versions(raw: DataFrame) -> DataFrame:
-    """Chains of project_history; its raw rows have the column entity."""
-    return history.versions(
-        raw, F.col("entity"), F.col("period"), [F.col("loaded_at"), F.col("row_id")], {"budget": cents(F.col("budget"))},
-        {"phase": squeezed(present(F.col("phase"))), "forecast_completion": day_of_text(F.col("forecast_completion"))},
-    )
+EXACT, KEPT = ("budget",), ("phase", "forecast_completion")
+
+
+def project_rows(raw: DataFrame) -> DataFrame:
+    """What counts of deliveries of project_history: the last row of each project and period."""
+    values = {"budget": cents(F.col("budget")), "phase": squeezed(present(F.col("phase"))), "forecast_completion": day_of_text(F.col("forecast_completion"))}
+    return history.last_delivered(raw, F.col("fms_id"), F.col("period"), [F.col("loaded_at"), F.col("row_id")], values)
 
 
 def late_from(period: Column) -> Column:
@@ -64,13 +66,40 @@ def late_from(period: Column) -> Column:
     return F.add_months(month, 1).cast("timestamp_ntz")
 
 
+def _refreshed(store: Store, tables: dict[str, DataFrame]) -> tuple[dict[str, list[str] | None], dict[str, Files]]:
+    """What a store has not taken in of its source tables: per table the new files (None: all anew), and the files to note."""
+    seen = store.manifest()["sources"]
+    now = {name: files_of(df) for name, df in tables.items()}
+    return {name: news(seen[name], f) if name in seen else None for name, f in now.items() if seen.get(name) != f}, {n: f for n, f in now.items() if seen.get(n) != f}
+
+
+def history_store(spark: SparkSession, sf: str) -> history.HistoryStore:
+    """The kept chains of project_history, brought up to date.
+
+    At first the on-time deliveries make the chains, and the late ones, which are the corrections, go in as a delivery of their own.
+    Later, new files are deliveries; a file that has gone or changed makes the store anew.
+    """
+    raw = table(spark, sf, "project_history")
+    found = files_of(raw)
+    buckets = max(16, sum(size for size, _ in found.values()) >> 26)  # by 64 MB of source files
+    store = history.HistoryStore(spark, kept_at(spark, "history", sf), EXACT, KEPT, buckets)
+    wanted, sources = _refreshed(store, {"project_history": raw})
+    if "project_history" not in wanted:
+        return store
+    if (new := wanted["project_history"]) is not None:
+        store.deliver(project_rows(spark.read.schema(raw.schema).parquet(*new)), sources)
+        return store
+    late = F.coalesce(F.col("loaded_at") >= late_from(F.col("period")), F.lit(False))
+    store.create(project_rows(raw.where(~late)))
+    store.deliver(project_rows(raw.where(late)), sources)
+    return store
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    """The chains of all on-time deliveries, with those that late deliveries touch rebuilt from all their raw rows."""
-    raw = table(spark, sf, "project_history").withColumn("entity", F.col("fms_id"))
-    is_late = F.coalesce(F.col("loaded_at") >= late_from(F.col("period")), F.lit(False))
-    touched = raw.where(is_late & F.col("entity").isNotNull()).select("entity").distinct()
-    on_time = raw.join(touched, "entity", "left_anti").where(~is_late)
-    chains = history.rebuild_affected(project_versions(on_time), raw, touched, project_versions)
+    """The chains as the store holds them."""
+    chains = history_store(spark, sf).chains()
+    if chains is None:
+        return table(spark, sf, "project_history").limit(0).select("fms_id", F.col("period").alias("valid_from"), F.col("period").alias("valid_to"))
     return chains.select(F.col("entity").alias("fms_id"), "valid_from", "valid_to")
 
 
@@ -80,69 +109,91 @@ DATE_RANGE = ("1990-01-01", "2060-12-31")
 SHIFT, FACTOR = 0.15, 5.0
 
 
-def value_counts(spark: SparkSession, sf: str, which: Column | None = None, sign: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The value-count tables of the profiled columns, by source table: the deltas of all loads added to an empty table.
-
-    With a condition on reporting_period they are the signed deltas of those loads, for a CountStore.
-    """
-    load = F.col("reporting_period")
-    source = lambda name: table(spark, sf, name) if which is None else table(spark, sf, name).where(which)
-    projects = profile.counts_of(source("project_budget_schedule"), {c: (F.col(c), None) for c in ("community_board", "borough")}, load, sign)
-    money = profile.counts_of(source("budget_spend_by_fy"), {"spend": (F.col("spend"), F.col("spend"))}, load, sign)
-    dates = profile.counts_of(source("schedule_history"), {"completion_date": (F.col("completion_date"), None)}, load, sign)
-    return projects, money, dates
-
-
-def stored_counts(store: profile.CountStore) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """value_counts as a store keeps them."""
-    every = store.read()
-    return tuple(every.where(F.col("column_name").isin(*names)) for names in (("community_board", "borough"), ("spend",), ("completion_date",)))
+#: The profiled columns: table -> column -> (value, number); dates have their day as number.
+PROFILED = {
+    "project_budget_schedule": {c: (F.col, None) for c in ("community_board", "borough")},
+    "budget_spend_by_fy": {"spend": (F.col, F.col)},
+    "schedule_history": {"completion_date": (F.col, lambda c: F.unix_date(F.to_date(c)))},
+}
+SOURCE = {c: t for t, cs in PROFILED.items() for c in cs}
+
+
+def value_counts(df: DataFrame, name: str, sign: int = 1) -> DataFrame:
+    """The signed value counts of rows of a profiled table."""
+    columns = {c: (value(c), number(c) if number else None) for c, (value, number) in PROFILED[name].items()}
+    return profile.counts_of(df, columns, F.col("reporting_period"), sign)
+
+
+def count_store(spark: SparkSession, sf: str) -> profile.CountStore:
+    """The kept value counts of the profiled columns, brought up to date in one commit: new files come in as plus; where a file has gone
+    or changed, what is held of its table goes out as minus and the table comes in as plus."""
+    store = profile.CountStore(spark, kept_at(spark, "counts", sf))
+    tables = {name: table(spark, sf, name) for name in PROFILED}
+    wanted, sources = _refreshed(store, tables)
+    deltas = []
+    for name, new in wanted.items():
+        if new is not None:
+            deltas.append(value_counts(spark.read.schema(tables[name].schema).parquet(*new), name))
+            continue
+        if name in store.manifest()["sources"]:
+            deltas.append(store.counts(*PROFILED[name]).withColumn("n", -F.col("n")))
+        deltas.append(value_counts(tables[name], name))
+    if deltas:
+        store.apply(*deltas, sources=sources)
+    return store
+
+
+def p7_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The profile of every load, from the kept counts: rates, distinct counts, ranges and entropy. Numbers and days have their range as
+    numbers (days since 1970), texts as text."""
+    found = profile.metrics(count_store(spark, sf).counts())
+    text = F.col("low").isNull()
+    return found.select(
+        "column_name", "load", "n_rows", "n_null", F.round("null_rate", 6).alias("null_rate"), "n_distinct", "low", "high",
+        F.when(text, F.col("least")).alias("least"), F.when(text, F.col("most")).alias("most"), F.round("entropy", 4).alias("entropy"),
+    )
 
 
-def p7_profile(spark: SparkSession, sf: str, store: profile.CountStore | None = None) -> DataFrame:
-    """The profile of every load: rates, distinct counts, ranges and entropy; from the counts of a store where one is given."""
-    every = reduce(DataFrame.unionByName, stored_counts(store) if store else value_counts(spark, sf))
-    return profile.metrics(every).select(
-        "column_name", "load", "n_rows", "n_null", F.round("null_rate", 6).alias("null_rate"), "n_distinct", "low", "high", F.round("entropy", 4).alias("entropy")
+def ill_formed(counts: DataFrame, known: frozenset[str]) -> DataFrame:
+    """Rows (column_name, value) of the values that are ill-formed: each is judged once, however many rows hold it."""
+    boroughs = sorted(b for b in known if not b[-1].isdigit())
+    name, number = F.col("column_name"), F.col("number")
+    first, last = (F.unix_date(F.to_date(F.lit(x))) for x in DATE_RANGE)
+    odd = (
+        ((name == "borough") & ~F.col("value").isin(*boroughs))
+        | ((name == "spend") & (finite(number).isNull() | ~number.between(*SPEND_RANGE)))
+        | ((name == "completion_date") & ~number.between(first, last))
+        | ((name == "community_board") & ~F.col("value").isin(*sorted(known)))
     )
+    values = counts.where(F.col("value").isNotNull() & odd).select("column_name", "value").distinct()
+    plain = values.where(name != "community_board")
+    boards = packed.items(values.where(name == "community_board"), F.col("value"), F.col("value"), packed.with_known(packed.BOARDS, known))
+    boards = boards.where(~F.col("item").isin(*sorted(known))).select(F.lit("community_board").alias("column_name"), F.col("row_key").alias("value")).distinct()
+    return plain.unionByName(boards)
 
 
-def p7_found(spark: SparkSession, sf: str, store: profile.CountStore | None = None) -> DataFrame:
-    """What is wrong in the loads; with a store, rates, shares and medians come from its counts, and ill-formed rows from the tables."""
-    source = {"community_board": "project_budget_schedule", "borough": "project_budget_schedule", "spend": "budget_spend_by_fy", "completion_date": "schedule_history"}
-    named = F.create_map(*(F.lit(x) for kv in source.items() for x in kv))
-    known = boards(spark, sf)
-    boroughs = sorted(b for b in known if not b[-1].isdigit())
-    projects, money, dates = stored_counts(store) if store else value_counts(spark, sf)
-    # The tables of texts and dates are kept in the shared folder: all that follows reads them instead of the rows.
-    kept = cut(projects.unionByName(dates))
-    projects, dates = kept.where("column_name != 'completion_date'"), kept.where("column_name = 'completion_date'")
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong in the loads. All is told from the kept counts; the tables are read only to look up the rows of ill-formed values."""
+    counts = count_store(spark, sf).counts()
+    named = F.create_map(*(F.lit(x) for kv in SOURCE.items() for x in kv))
 
     def shown(df: DataFrame, kind: str, ref: str = "load") -> DataFrame:
         name = F.col("column_name")
         return df.select(named[name].alias("table_name"), name.alias("column_name"), F.lit(kind).alias("kind"), F.col(ref).cast("bigint").alias("ref_id"))
 
-    # Ill-formed texts are judged once for each distinct value of the counts; then their rows are looked up.
-    texts = projects.where("value is not null").groupBy("column_name", "value").agg(F.sum("n").alias("n"))
-    odd_boards = packed.items(texts.where("column_name = 'community_board'").where(~F.col("value").isin(*sorted(known))), F.col("value"), F.col("value"), packed.with_known(packed.BOARDS, known))
-    odd_boards = odd_boards.where(~F.col("item").isin(*sorted(known))).select(F.lit("community_board").alias("column_name"), F.col("row_key").alias("value")).distinct()
-    odd = texts.where((F.col("column_name") == "borough") & ~F.col("value").isin(*boroughs)).select("column_name", "value").unionByName(odd_boards)
-    cells = table(spark, sf, "project_budget_schedule").select(
-        "row_id", F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in ("community_board", "borough")))).alias("c")
-    ).select("row_id", "c.*").where("value is not null").where(((F.col("column_name") == "community_board") & ~F.col("value").isin(*sorted(known))) | ((F.col("column_name") == "borough") & ~F.col("value").isin(*boroughs)))
-    bad = [cells.join(small(odd), ["column_name", "value"], "left_semi")]
-    spend = F.col("spend")
-    bad_spend = finite(spend).isNull() | ~spend.between(*SPEND_RANGE)
-    bad.append(table(spark, sf, "budget_spend_by_fy").where(spend.isNotNull() & bad_spend).select("row_id", F.lit("spend").alias("column_name"), F.lit("").alias("value")))
-    day = F.to_date("completion_date")
-    first, last = (F.to_date(F.lit(x)) for x in DATE_RANGE)
-    bad.append(table(spark, sf, "schedule_history").where((day < first) | (day > last)).select("row_id", F.lit("completion_date").alias("column_name"), F.lit("").alias("value")))
+    odd = small(cut(ill_formed(counts, boards(spark, sf))))
+    bad = []
+    for name, columns in PROFILED.items():
+        cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns))
+        rows = table(spark, sf, name).select("row_id", F.explode(cells).alias("c")).select("row_id", "c.*").where("value is not null")
+        bad.append(rows.join(odd, ["column_name", "value"], "left_semi"))
     ill = shown(reduce(DataFrame.unionByName, bad), "bad_value", "row_id")
 
-    per_load = reduce(DataFrame.unionByName, (projects, money, dates)).groupBy("column_name", "load").agg((F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("rate"))
-    rates = profile.against_before(per_load, "rate").where(F.abs(F.col("rate") - F.col("before")) > SHIFT)
-    shares = profile.share_shifts(projects.where("column_name = 'borough'"), SHIFT)
-    middle = profile.against_before(profile.medians(money), "median")
+    missing = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0))
+    rates = profile.against_before(counts.groupBy("column_name", "load").agg((missing / F.sum("n")).alias("rate")), "rate")
+    rates = rates.where(F.abs(F.col("rate") - F.col("before")) > SHIFT)
+    shares = profile.share_shifts(counts.where("column_name = 'borough'"), SHIFT)
+    middle = profile.against_before(profile.medians(counts.where("column_name = 'spend'")), "median")
     apart = (F.col("median") > FACTOR * F.col("before")) | (F.col("before") > FACTOR * F.col("median"))
     return reduce(DataFrame.unionByName, (ill, shown(rates, "null_rate"), shown(shares, "value_share"), shown(middle.where(apart), "median")))
 

@@ -111,11 +111,12 @@ with cells as (
   select 'community_board' as column_name, reporting_period as p, community_board as v, cast(null as double) as x from project_budget_schedule
   union all select 'borough', reporting_period, borough, null from project_budget_schedule
   union all select 'spend', reporting_period, cast(spend as varchar), spend from budget_spend_by_fy
-  union all select 'completion_date', reporting_period, cast(completion_date as varchar), null from schedule_history
+  union all select 'completion_date', reporting_period, cast(completion_date as varchar), cast(datediff('day', date '1970-01-01', cast(completion_date as date)) as double) from schedule_history
 ),
 counts as (select column_name, cast(p as bigint) as load, v, x, count(*) as n from cells where p is not null group by all)
 select column_name, load, cast(sum(n) as bigint) as n_rows, cast(sum(case when v is null then n else 0 end) as bigint) as n_null, round(sum(case when v is null then n else 0 end) / sum(n), 6) as null_rate,
   count(v) as n_distinct, min(case when isfinite(x) then x end) as low, max(case when isfinite(x) then x end) as high,
+  case when min(case when isfinite(x) then x end) is null then min(v) end as least, case when min(case when isfinite(x) then x end) is null then max(v) end as most,
   round(case when count(v) > 0 then greatest(0.0, log2(sum(n) filter (v is not null)) - sum(n * log2(n)) filter (v is not null) / sum(n) filter (v is not null)) end, 4) as entropy
 from counts group by all
 """

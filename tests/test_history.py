@@ -1,8 +1,11 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from plinth.operators import history
+from plinth.operators import store as store_module
+from plinth.plans import training
 
 SCHEMA = "entity string, period int, at int, budget int, phase string"
 
@@ -51,33 +54,68 @@ def test_rebuild_equals_full_build(spark, rows):
     assert rows(got) == rows(build(every))
 
 
-def test_store(spark, rows, tmp_path):
-    store = history.HistoryStore(spark, str(tmp_path / "chains"), buckets=4)
-    assert store.read() is None
-    old = spark.createDataFrame(generated(3), SCHEMA)
-    store.create(build(old))
-    assert rows(store.read()) == rows(build(old))
+def rows_of(raw):
+    return history.last_delivered(raw, F.col("entity"), F.col("period"), [F.col("at")], {"budget": F.col("budget"), "phase": F.col("phase")})
+
+
+def store_at(spark, folder, buckets=8):
+    return history.HistoryStore(spark, str(folder), ["budget"], ["phase"], buckets)
+
+
+def test_late_deliveries_touch_their_buckets_only(spark, rows, tmp_path):
+    store, old = store_at(spark, tmp_path / "chains"), spark.createDataFrame(generated(3), SCHEMA)
+    assert store.chains() is None
+    store.deliver(rows_of(old))
+    assert rows(store.chains()) == rows(build(old))
     before = store.manifest()
-    every = spark.createDataFrame([*generated(3), ("b", 2, 999, 7, "late")], SCHEMA)
-    store.update(every, spark.createDataFrame([("b",)], "entity string"), build)
-    assert rows(store.read()) == rows(build(every))
-    moved = [b for b in before["buckets"] if store.manifest()["buckets"][b] != before["buckets"][b]]
-    assert len(moved) == 1 and store.manifest()["version"] == 2
-    store.update(every, spark.createDataFrame([], "entity string"), build)
-    assert store.manifest()["version"] == 2
-    without = every.where("entity != 'b'")
-    store.update(without, spark.createDataFrame([("b",)], "entity string"), build)
-    assert rows(store.read()) == rows(build(without))
-
-
-def test_failed_commit_leaves_the_store(spark, rows, tmp_path):
-    store = history.HistoryStore(spark, str(tmp_path / "chains"), buckets=2)
-    old = spark.createDataFrame(generated(4), SCHEMA)
-    store.create(build(old))
+    late = [("b", 2, 999, 7, "late"), ("b", 9, 1000, 8, None), ("b", 3, -5, 1, "long superseded")]
+    # Files of untouched buckets may even be gone while the update runs: they are not read.
+    bucket = str(spark.createDataFrame([("b",)], "entity string").select(store_module.bucket_of(F.col("entity"), 8)).first()[0])
+    store.deliver(rows_of(spark.createDataFrame(late, SCHEMA)))
+    every = spark.createDataFrame([*generated(3), *late], SCHEMA)
+    assert rows(store.chains()) == rows(build(every))
+    after = store.manifest()
+    for name in ("last", "chains"):
+        was, now = before["tables"][name]["buckets"], after["tables"][name]["buckets"]
+        assert [b for b in now if was.get(b) != now[b]] == [bucket]
+    store.deliver(rows_of(every.limit(0)))
+    assert rows(store.chains()) == rows(build(every))
+    store.withdraw(spark.createDataFrame([("b",)], "entity string"))
+    assert rows(store.chains()) == rows(build(every.where("entity != 'b'")))
+
+
+def test_failed_and_losing_commits_leave_the_store(spark, rows, tmp_path):
+    store, old = store_at(spark, tmp_path / "chains", 2), spark.createDataFrame(generated(4), SCHEMA)
+    store.create(rows_of(old))
     boom = F.udf(lambda x: 1 // 0, "int")
-    try:
-        store.update(old, spark.createDataFrame([("a",)], "entity string"), lambda raw: build(raw).withColumn("budget", boom("budget")))
-        raise AssertionError
-    except Exception as e:
-        assert "division" in str(e)
-    assert rows(store.read()) == rows(build(old))
+    with pytest.raises(Exception, match="division"):
+        store.deliver(rows_of(old.withColumn("budget", boom("budget"))))
+    assert rows(store.chains()) == rows(build(old))
+    before = store.manifest()
+    store.commit(before, {}, more={"mark": 1})
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.commit(before, {}, more={"mark": 2})
+    assert store.manifest()["more"]["mark"] == 1
+    (tmp_path / "chains" / "_commits" / f"{store.manifest()['version'] + 1:012d}").write_text("")  # a writer that died
+    assert store.manifest()["more"]["mark"] == 1
+    store.deliver(rows_of(spark.createDataFrame([("zz", 1, 1, 1, "x")], SCHEMA)))
+    assert store.chains().where("entity = 'zz'").count() == 1
+
+
+def test_query_follows_its_files(spark, rows, tmp_path):
+    """New files are deliveries; a changed file makes the store anew; nothing new is nothing done."""
+    whole = spark.read.parquet("/root/testdata/sf0.001/project_history.parquet")
+    at, half = str(tmp_path / "project_history.parquet"), F.pmod(F.xxhash64("row_id"), F.lit(2))
+    plain = lambda: rows(training.p5_found(spark, str(tmp_path)))
+    want = lambda df: rows(history.chains_of(training.project_rows(df), training.EXACT, training.KEPT).select("entity", "valid_from", "valid_to"))
+    whole.where(half == 0).write.parquet(at)
+    assert plain() == want(whole.where(half == 0))
+    version = training.history_store(spark, str(tmp_path)).manifest()["version"]
+    assert version == 2 == training.history_store(spark, str(tmp_path)).manifest()["version"]
+    whole.where(half == 1).write.mode("append").parquet(at)
+    assert plain() == want(whole)
+    assert training.history_store(spark, str(tmp_path)).manifest()["version"] == 3
+    whole.where("fms_id > 'M'").write.mode("overwrite").parquet(at)
+    assert plain() == want(whole.where("fms_id > 'M'"))
+    whole.limit(0).write.mode("overwrite").parquet(at)
+    assert plain() == []
