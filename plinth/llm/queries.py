@@ -22,14 +22,28 @@ def _ranked(df: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
     return df.join(F.broadcast(trust), "feed", "left")
 
 
+def _project_survivors(spark: SparkSession, sf: str) -> DataFrame:
+    """The surviving rows of delivered records, by one search over all bundles: agency and budget by themselves, both agencies as one,
+    and borough and board, which have to agree on the borough. Contexts are the boroughs of the fixed table."""
+    projects = _ranked(table(spark, sf, "project_budget_schedule"), spark, sf)
+    names = sorted(r.borough for r in table(spark, sf, "ref_community_districts").select("borough").distinct().collect())
+    borough = F.when(F.col("borough").isin(*names), F.col("borough"))
+    board = F.regexp_extract(F.col("community_board"), rf"^({'|'.join(names)})(?: \d\d)?$", 1)
+    board = F.when(board != "", board)
+    agency = present(F.col("managing_agency")).isNotNull()
+    bundles = [
+        survivor.Bundle("managing_agency", agency),
+        survivor.Bundle("total_budget", _money("total_budget")),
+        survivor.Bundle("agencies", agency & present(F.col("sponsor_agency")).isNotNull()),
+        survivor.Bundle("borough", borough.isNotNull(), borough),
+        survivor.Bundle("community_board", board.isNotNull(), board),
+    ]
+    return survivor.survivors(projects, {c: F.col(c) for c in ("fms_id", "reporting_period", "pid")}, bundles, F.col("trust_rank"), F.col("loaded_at"), F.col("row_id"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    projects = table(spark, sf, "project_budget_schedule")
-    a = survivor.survivors(
-        _ranked(projects, spark, sf), {c: F.col(c) for c in ("fms_id", "reporting_period", "pid")},
-        [survivor.Bundle("managing_agency", present(F.col("managing_agency")).isNotNull()), survivor.Bundle("total_budget", _money("total_budget"))],
-        F.col("trust_rank"), F.col("loaded_at"), F.col("row_id"),
-    )
-    written = projects.select("fms_id").where("fms_id is not null").distinct().withColumn("written", F.lit(True))
+    a = _project_survivors(spark, sf).where(F.col("bundle").isin("managing_agency", "total_budget"))
+    written = table(spark, sf, "project_budget_schedule").select("fms_id").where("fms_id is not null").distinct().withColumn("written", F.lit(True))
     rows = _ranked(table(spark, sf, "nyc_capital_rows"), spark, sf).join(written, "fms_id", "left")
     number = F.regexp_replace(trimmed(F.col("fms_id")), r"^\d{3}\s+", "")
     project = F.upper(F.regexp_replace(number, r"[\s\p{Z}_-]+", ""))
@@ -45,20 +59,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_bundles(spark: SparkSession, sf: str) -> DataFrame:
     """Whole bundles of a delivered record: agencies, and borough and board, which have to agree on the borough."""
-    projects = _ranked(table(spark, sf, "project_budget_schedule"), spark, sf)
-    names = sorted(r.borough for r in table(spark, sf, "ref_community_districts").select("borough").distinct().collect())
-    borough = F.when(F.col("borough").isin(*names), F.col("borough"))
-    board = F.regexp_extract(F.col("community_board"), rf"^({'|'.join(names)})(?: \d\d)?$", 1)
-    board = F.when(board != "", board)
-    return survivor.survivors(
-        projects, {c: F.col(c) for c in ("fms_id", "reporting_period", "pid")},
-        [
-            survivor.Bundle("agencies", present(F.col("managing_agency")).isNotNull() & present(F.col("sponsor_agency")).isNotNull()),
-            survivor.Bundle("borough", borough.isNotNull(), borough),
-            survivor.Bundle("community_board", board.isNotNull(), board),
-        ],
-        F.col("trust_rank"), F.col("loaded_at"), F.col("row_id"),
-    )
+    return _project_survivors(spark, sf).where(F.col("bundle").isin("agencies", "borough", "community_board"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,6 +132,28 @@ b as (select *, count(*) over (partition by project) as n from b0 where project
     _best("b", "nyc_capital_rows", "project", "budget", "isfinite(budget) and budget > 0", "as_of"),
 ])
 
+_OUT = "{'r': 1000001, 'l': 4611686018427387904, 'i': 4611686018427387904}"
+_P3_BUNDLES = rf"""
+with names as (select distinct borough as b from ref_community_districts),
+a as (
+  select fms_id, reporting_period, pid, row_id, {{'r': coalesce(t.trust_rank, 1000000), 'l': coalesce(-epoch_us(loaded_at), 4611686018427387904), 'i': row_id}} as s,
+    coalesce({_says("managing_agency")} and {_says("sponsor_agency")}, false) as both_agencies, case when borough in (select b from names) then borough end as c1,
+    case when regexp_full_match(community_board, '(' || (select string_agg(b, '|') from names) || ')( [0-9][0-9])?') then regexp_replace(community_board, ' [0-9][0-9]$', '') end as c2
+  from project_budget_schedule p left join feed_trust t using (feed)),
+g as (select fms_id, reporting_period, pid, min(case when both_agencies then s end) as s0, count(c1) as n1, count(c2) as n2 from a group by all having count(*) > 1),
+c as (select distinct fms_id, reporting_period, pid, c from (select *, c1 as c from a union all select *, c2 from a) where c is not null),
+k as (
+  select c.fms_id, c.reporting_period, c.pid, min(case when a.c1 = c.c then a.s end) as s1, min(case when a.c2 = c.c then a.s end) as s2 from c
+  join a on a.fms_id is not distinct from c.fms_id and a.reporting_period is not distinct from c.reporting_period and a.pid is not distinct from c.pid group by c.fms_id, c.reporting_period, c.pid, c.c),
+w as (
+  select g.fms_id, g.reporting_period, g.pid, min({{'cost': case when n1 > 0 then coalesce(s1.r, 1000001) else 0 end + case when n2 > 0 then coalesce(s2.r, 1000001) else 0 end,
+    'x': case when n1 > 0 then coalesce(s1, {_OUT}) else {_OUT} end, 'y': case when n2 > 0 then coalesce(s2, {_OUT}) else {_OUT} end}}) as w
+  from g join k on g.fms_id is not distinct from k.fms_id and g.reporting_period is not distinct from k.reporting_period and g.pid is not distinct from k.pid group by all)
+select fms_id, reporting_period, pid, 'agencies' as bundle, s0.i as row_id from g where s0 is not null
+union all select fms_id, reporting_period, pid, 'borough', w.x.i from w where w.x.i <> 4611686018427387904
+union all select fms_id, reporting_period, pid, 'community_board', w.y.i from w where w.y.i <> 4611686018427387904
+"""
+
 _P6 = """
 with recursive named as (
   select pid, fms_id as f from project_budget_schedule where pid > 0 and fms_id is not null
@@ -145,4 +168,4 @@ again as (select f, g from labels)
 select g as group_id, f as fms_id from again
 """
 
-SQL = {"p3_found": _P3, "p6_found": _P6}
+SQL = {"p3_found": _P3, "p3_bundles": _P3_BUNDLES, "p6_found": _P6}

@@ -1,14 +1,15 @@
 """Best representative of each duplicate group: consistent bundles.
 
-Fields that depend on each other form bundles (borough and board, the parts of an address), and a bundle is taken whole from one
-row. Candidates of a bundle are the rows with a usable value of it, the most trusted source first, then the latest, then the
-smallest row id. Bundles without a common context are chosen by themselves: the best candidate is a minimum, combined before the
-shuffle. Bundles that determine one context (a functional dependency: the board determines the borough, and so does the borough
-field) have to agree on it: branch and bound over the candidates finds the choice with the greatest trust.
+Fields that depend on each other form bundles (the agencies of a record, the parts of an address), and a bundle is taken whole from
+one row. Candidates of a bundle are the rows with a usable value of it, the most trusted source first, then the latest, then the
+smallest row id. A bundle may determine a context (a functional dependency: the board determines the borough, and so does the borough
+field); the bundles chosen for a group have to agree on it. Branch and bound over the candidates finds the choice of the greatest
+trust, for all bundles of a group at once. A bundle of an independent field has no context and agrees with any.
 
-Only the best candidate of each bundle and determined context can be in the best choice, so the candidates of a group are first
-brought down to these by a minimum. Groups with more contexts than `most` are resolved by the same costs added up per context in
-a distributed aggregation, which gives the same choice without collecting the group.
+Only the best candidate of each bundle and context can be in the best choice, so rows are first brought down to these by a minimum
+that is combined before the shuffle; a second aggregation lays the candidates of a group side by side. Contexts are values of a closed
+domain (here the boroughs of a fixed table), so what a group holds then depends on that domain, not on the number of its rows. The
+search takes all groups of an Arrow batch through the bundles together, in numpy.
 
 Defined results: nulls in a group key are equal; rows that repeat wholly differ by row id only; a bundle without a usable value
 has no survivor; a context of null agrees with any; sources without a trust rank come last; empty tables give no rows.
@@ -16,20 +17,22 @@ has no survivor; a context of null agrees with any; sources without a trust rank
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: The rank of a source that the trust table does not name, and the cost of leaving a bundle out.
+#: The rank of a source that the trust table does not name; a bundle left out costs one more.
 UNRANKED = 1_000_000
 
 
 @dataclass(frozen=True)
 class Bundle:
-    """Fields that survive together. usable: is the row a candidate? context: the value that the bundle determines, if any."""
+    """Fields that survive together. usable: is the row a candidate? context: the value, of a closed domain, that the bundle determines."""
 
     name: str
     usable: Column
@@ -38,99 +41,99 @@ class Bundle:
 
 def _standing(rank: Column, when: Column, row_id: Column) -> Column:
     """Comparable: the smaller, the better."""
-    return F.struct(F.coalesce(rank, F.lit(UNRANKED)).cast("int").alias("rank"), F.coalesce(-F.unix_micros(when.cast("timestamp")), F.lit(1 << 62)).alias("late"), row_id.alias("row_id"))
+    return F.struct(F.coalesce(rank, F.lit(UNRANKED)).cast("int").alias("rank"), F.coalesce(-F.unix_micros(when.cast("timestamp")), F.lit(1 << 62)).alias("late"), row_id.cast("bigint").alias("row_id"))
 
 
-def survivors(df: DataFrame, keys: dict[str, Column], bundles: Sequence[Bundle], rank: Column, when: Column, row_id: Column, least: int = 2, most: int = 64) -> DataFrame:
+def survivors(df: DataFrame, keys: dict[str, Column], bundles: Sequence[Bundle], rank: Column, when: Column, row_id: Column, least: int = 2) -> DataFrame:
     """Rows (keys..., bundle, row_id): the surviving row of each bundle in every group of at least `least` rows."""
     ks = [f"k{i}" for i in range(len(keys))]
-    named = [F.col(k).alias(n) for k, n in zip(ks, keys, strict=True)]
+    grouped = [c.alias(k) for c, k in zip(keys.values(), ks, strict=True)]
     best = _standing(rank, when, row_id)
-    free, bound = [b for b in bundles if b.context is None], [b for b in bundles if b.context is not None]
-    parts = []
-    if free:
-        folded = df.groupBy(*(c.alias(k) for c, k in zip(keys.values(), ks, strict=True))).agg(
-            F.count(F.lit(1)).alias("n"), *(F.min(F.when(b.usable, best)).alias(f"b{i}") for i, b in enumerate(free))
-        )
-        cells = F.array(*(F.struct(F.lit(b.name).alias("bundle"), F.col(f"b{i}.row_id").alias("row_id")) for i, b in enumerate(free)))
-        parts.append(folded.where(F.col("n") >= least).select(*named, F.explode(cells).alias("c")).select(*keys, "c.*").where("row_id is not null"))
+    bound = [i for i, b in enumerate(bundles) if b.context is not None]
+    least_of = [F.min(F.when(b.usable, best)).alias(f"s{i}") for i, b in enumerate(bundles)]
     if bound:
-        parts.append(_agreeing(df, keys, ks, bound, best, least, most).select(*named, "bundle", "row_id"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _agreeing(df: DataFrame, keys: dict[str, Column], ks: list[str], bundles: Sequence[Bundle], best: Column, least: int, most: int) -> DataFrame:
-    cells = F.array(*(F.struct(F.lit(i).alias("b"), F.when(b.usable, b.context.cast("string")).alias("context"), F.when(b.usable, best).alias("s")) for i, b in enumerate(bundles)))
-    rows = df.select(*(c.alias(k) for c, k in zip(keys.values(), ks, strict=True)), F.explode(cells).alias("c"))
-    # One row for each bundle and context of a group; the count of rows rides along to find the groups that are large enough.
-    lean = rows.groupBy(*ks, "c.b", "c.context").agg(F.min("c.s").alias("s"), F.count(F.lit(1)).alias("n"))
-    sized = lean.groupBy(*ks).agg((F.sum("n") / len(bundles)).alias("rows"), F.count_distinct("context").alias("contexts"))
-    sized = sized.where(F.col("rows") >= least)
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"z.{k}")) for k in ks]
-    kept = lean.alias("l").join(sized.alias("z"), same).select(*(F.col(f"l.{k}").alias(k) for k in ks), "b", "context", "s", "contexts").where("s is not null")
-    schema, n_bundles = "array<struct<b: int, row_id: bigint>>", len(bundles)
-
-    @F.pandas_udf(schema)
-    def chosen(candidates: pd.Series) -> pd.Series:
-        return pd.Series([branch_and_bound([(c["b"], c["context"], c["s"]["rank"], c["s"]["late"], c["s"]["row_id"]) for c in g], n_bundles) for g in candidates])
-
-    few = kept.where(F.col("contexts") <= most).groupBy(*ks).agg(F.sort_array(F.collect_list(F.struct("b", "context", "s"))).alias("g"))
-    searched = few.select(*ks, F.explode(chosen("g")).alias("x")).select(*ks, "x.b", "x.row_id")
-    added = _by_context(kept.where(F.col("contexts") > most), ks, len(bundles))
-    names = F.element_at(F.array(*(F.lit(b.name) for b in bundles)), F.col("b") + 1)
-    return searched.unionByName(added).select(*ks, names.alias("bundle"), "row_id")
-
-
-def branch_and_bound(candidates: list[tuple], bundles: int) -> list[dict]:
-    """The choice of at most one candidate (b, context, rank, late, row_id) per bundle with agreeing contexts and the least cost.
-
-    The cost of a choice is the sum of its ranks (UNRANKED + 1 for a bundle that has candidates and is left out); then, bundle by
-    bundle, the standings decide. The bound of a branch is its cost so far plus the least ranks of the bundles to come.
+        contexts = [F.when(bundles[i].usable, bundles[i].context.cast("string")).alias(f"c{i}") for i in bound]
+        lean = df.groupBy(*grouped, *contexts).agg(F.count(F.lit(1)).alias("n"), *least_of)
+        met = F.collect_list(F.struct(*(F.col(f"{x}{i}") for i in bound for x in "cs"))).alias("met")
+        folded = lean.groupBy(*ks).agg(F.sum("n").alias("n"), *(F.min(f"s{i}").alias(f"s{i}") for i in range(len(bundles)) if i not in bound), met)
+    else:
+        folded = df.groupBy(*grouped).agg(F.count(F.lit(1)).alias("n"), *least_of)
+    cell = lambda i, c, s: F.struct(F.lit(i).alias("b"), c.cast("string").alias("context"), s["rank"].alias("rank"), s["late"].alias("late"), s["row_id"].alias("row_id"))
+    of_met = lambda i: lambda m: cell(i, m[f"c{i}"], m[f"s{i}"])
+    free = F.array(*(cell(i, F.lit(None), F.col(f"s{i}")) for i in range(len(bundles)) if i not in bound))
+    every = F.concat(free, *(F.transform("met", of_met(i)) for i in bound))
+    groups = folded.where(F.col("n") >= least).select(*ks, F.filter(every, lambda x: x["row_id"].isNotNull()).alias("g"))
+    names = [b.name for b in bundles]
+    schema = T.StructType([T.StructField(n, groups.schema[k].dataType) for n, k in zip(keys, ks, strict=True)] + [T.StructField("bundle", T.StringType()), T.StructField("row_id", T.LongType())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(ks))
+            cells = lists.flatten()
+            of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            context = cells.field("context").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            b, rank, late, row = (cells.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("b", "rank", "late", "row_id"))
+            taken = branch_and_bound(of, b, context, rank, late, row, len(lists), len(names))
+            group, bundle = np.nonzero(taken >= 0)
+            kept = [c.take(pa.array(group)) for c in batch.columns[: len(ks)]]
+            found = [*kept, pa.array(names, pa.string()).take(pa.array(bundle)), pa.array(row[taken[group, bundle]], pa.int64())]
+            yield pa.RecordBatch.from_arrays(found, names=schema.names)
+
+    return groups.mapInArrow(search, schema)
+
+
+def branch_and_bound(group: np.ndarray, bundle: np.ndarray, context: np.ndarray, rank: np.ndarray, late: np.ndarray, row_id: np.ndarray, groups: int, bundles: int) -> np.ndarray:
+    """The best choice of every group: for each of its bundles the place of a candidate among those given, -1 where none is taken.
+
+    At most one candidate of each bundle is taken, and contexts (-1: any) agree. The cost of a choice is the sum of its ranks, with
+    UNRANKED + 1 for a bundle that has candidates and is left out; of equal costs the standings (rank, late, row id) decide, bundle
+    by bundle. Bound: the cost so far and the least ranks of the bundles to come must not exceed the cost of a choice known to be
+    possible. Of branches of a group with the same context only the best can lead to the best choice.
     """
-    lists: list[list[tuple]] = [[] for _ in range(bundles)]
-    for b, context, rank, late, row_id in candidates:
-        lists[b].append((rank, late, row_id, context))
-    for options in lists:
-        options.sort(key=lambda o: o[:3])
-    order = [b for b in range(bundles) if lists[b]]
-    rest = [0] * (len(order) + 1)
-    for i in range(len(order) - 1, -1, -1):
-        rest[i] = rest[i + 1] + lists[order[i]][0][0]
-    out = (UNRANKED + 1, 1 << 62, 1 << 62)
-    best: list = [None, None]
-
-    def search(i: int, context, cost: int, taken: list[tuple]) -> None:
-        if best[0] is not None and cost + rest[i] > best[0][0]:
-            return
-        if i == len(order):
-            key = (cost, [t[:3] for t in taken])
-            if best[0] is None or key < best[0]:
-                best[0], best[1] = key, list(taken)
-            return
-        for o in lists[order[i]]:
-            if o[3] is None or context is None or o[3] == context:
-                search(i + 1, context if o[3] is None else o[3], cost + o[0], [*taken, o])
-        search(i + 1, context, cost + out[0], [*taken, (*out, None)])
-
-    search(0, None, 0, [])
-    return [{"b": b, "row_id": t[2]} for b, t in zip(order, best[1] or [], strict=False) if t[2] != out[2]]
-
-
-def _by_context(kept: DataFrame, ks: list[str], bundles: int) -> DataFrame:
-    """The same choice for groups of many contexts: every context's cost is added up from the best candidates of the bundles that
-    have it or none; the least cost wins. Costs are laid out as one array per context, so the order is that of the search."""
-    slots = lambda c: [F.min(F.when((F.col("b") == i) & c, F.col("s"))).alias(f"s{i}") for i in range(bundles)]
-    loose = kept.groupBy(*ks).agg(*slots(F.col("context").isNull()), *(F.max(F.col("b") == i).alias(f"any{i}") for i in range(bundles)))
-    strict = kept.where("context is not null").groupBy(*ks, "context").agg(*slots(F.lit(True)))
-    on = [F.col(f"t.{k}").eqNullSafe(F.col(f"o.{k}")) for k in ks]
-    both = strict.alias("t").join(loose.alias("o"), on).select(
-        *(F.col(f"t.{k}").alias(k) for k in ks),
-        *(F.least(F.col(f"t.s{i}"), F.col(f"o.s{i}")).alias(f"s{i}") for i in range(bundles)),
-        *(F.col(f"o.any{i}").alias(f"any{i}") for i in range(bundles)),
-    )
-    nothing = F.struct(F.lit(UNRANKED + 1).alias("rank"), F.lit(1 << 62).alias("late"), F.lit(1 << 62).cast("bigint").alias("row_id"))
-    filled = [F.coalesce(F.col(f"s{i}"), nothing) for i in range(bundles)]
-    cost = sum((F.when(F.col(f"any{i}"), filled[i]["rank"].cast("bigint")).otherwise(F.lit(0)) for i in range(bundles)), F.lit(0))
-    least = both.groupBy(*ks).agg(F.min(F.struct(cost.alias("cost"), *(x.alias(f"x{i}") for i, x in enumerate(filled)))).alias("w"))
-    cells = F.array(*(F.struct(F.lit(i).alias("b"), F.col(f"w.x{i}.row_id").alias("row_id")) for i in range(bundles)))
-    return least.select(*ks, F.explode(cells).alias("x")).select(*ks, "x.b", "x.row_id").where(F.col("row_id") != (1 << 62))
+    order = np.lexsort((row_id, late, rank, group, bundle))
+    of, code, cost_of = group[order], context[order], rank[order]
+    starts = np.searchsorted(bundle[order] * groups + of, np.arange(bundles * groups)).reshape(bundles, groups)
+    ends = np.append(starts.ravel()[1:], len(order)).reshape(bundles, groups)
+    has = ends > starts
+    out = UNRANKED + 1
+    lowest = np.where(has, np.append(cost_of, 0)[starts], 0)
+    rest = np.vstack([np.cumsum(lowest[::-1], axis=0)[::-1], np.zeros((1, groups), np.int64)])
+    # A possible choice: all agree on the context of the first candidate that has one.
+    first = np.full(groups, -1)
+    strict = np.flatnonzero(code >= 0)[::-1]
+    first[of[strict]] = code[strict]
+    agreeing = np.where((code < 0) | (code == first[of]), cost_of, out)
+    reached = np.full(bundles * groups, out)
+    np.minimum.at(reached, bundle[order] * groups + of, agreeing)
+    most = np.where(has, reached.reshape(bundles, groups), 0).sum(axis=0)
+
+    at, held, cost = np.arange(groups), np.full(groups, -1), np.zeros(groups, np.int64)
+    picks = np.empty((groups, 0), np.int64)
+    for i in range(bundles):
+        n = (ends[i] - starts[i])[at] + 1  # every candidate, and leaving the bundle out
+        branch = np.repeat(np.arange(len(at)), n)
+        step = np.arange(len(branch)) - np.repeat(np.cumsum(n) - n, n)
+        leaves = step == n[branch] - 1
+        pick = np.where(leaves, len(order), starts[i][at[branch]] + step)
+        theirs = np.append(code, -1)[pick]
+        now = held[branch]
+        total = cost[branch] + np.where(leaves, np.where(has[i][at[branch]], out, 0), np.append(cost_of, 0)[pick])
+        on = ((theirs < 0) | (now < 0) | (theirs == now)) & (total + rest[i + 1][at[branch]] <= most[at[branch]])
+        branch, pick, total = branch[on], pick[on], total[on]
+        at, held, cost = at[branch], np.where(theirs[on] >= 0, theirs[on], now[on]), total
+        picks = np.column_stack([picks[branch], pick])
+        keep = _least(at, held, cost, picks)
+        at, held, cost, picks = at[keep], held[keep], cost[keep], picks[keep]
+    keep = _least(at, np.zeros_like(held), cost, picks)
+    found = np.full((groups, bundles), -1)
+    chosen = picks[keep]
+    found[at[keep]] = np.where(chosen < len(order), np.append(order, -1)[chosen], -1)
+    return found
+
+
+def _least(at: np.ndarray, held: np.ndarray, cost: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """The best branch of each group and context: by cost, then by the standings of its picks, which are in their order."""
+    order = np.lexsort((*picks.T[::-1], cost, held, at))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(at[order]) != 0) | (np.diff(held[order]) != 0)
+    return order[new]

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from plinth.llm import survivor
@@ -58,9 +59,21 @@ def test_against_enumeration(spark):
         assert run(spark, data) == by_hand(data)
 
 
-def test_many_contexts_take_the_same_choice(spark):
-    data = generated(4, 60)
-    assert run(spark, data, most=0) == run(spark, data) == by_hand(data)
+def test_many_contexts(spark):
+    r = random.Random(5)
+    data = [(k, i, r.choice([1, 2, 3]), r.choice([1, 5, 9, None]), r.choice(["X", None]), r.choice([f"C{r.randint(1, 90)} 1", "any 9", None]), r.choice([f"C{r.randint(1, 90)}", None])) for i, k in enumerate("ab" * 150)]
+    assert run(spark, data) == by_hand(data)
+
+
+def test_the_search_decides(spark, monkeypatch):
+    """The cheapest candidates of each bundle by itself do not agree here; and without the search nothing survives."""
+    data = [("a", 1, 1, 1, "X", "Q 1", None), ("a", 2, 2, 1, "X", "B 1", "B"), ("a", 3, 3, 1, None, None, "B")]
+    assert run(spark, data) == by_hand(data) == [("a", "agency", 1), ("a", "board", 2), ("a", "borough", 2)]
+    from plinth.llm import queries
+
+    monkeypatch.setattr(survivor, "branch_and_bound", lambda g, b, c, r, w, i, groups, n: np.full((groups, n), -1))
+    assert run(spark, data) == []
+    assert queries.p3_found(spark, "/root/testdata/sf0.001").count() == 0
 
 
 def test_edges(spark):
@@ -68,4 +81,5 @@ def test_edges(spark):
     assert run(spark, [("a", 1, 1, 1, "X", None, None)]) == []
     assert run(spark, [("a", 1, 1, 1, None, None, None), ("a", 2, 1, 1, None, None, None)]) == []
     assert run(spark, [("a", 2, 1, 1, "X", None, None), ("a", 1, 1, 1, "X", None, None)]) == [("a", "agency", 1)]
-    assert survivor.branch_and_bound([], 2) == []
+    none = np.empty(0, np.int64)
+    assert survivor.branch_and_bound(none, none, none, none, none, none, 2, 2).tolist() == [[-1, -1], [-1, -1]]
