@@ -9,8 +9,8 @@ The model is fitted on a bounded sample of labelled rows (ROWS_PER_LANGUAGE, spr
 size is bounded. Labels in the sample may be wrong, so sentences are first relabelled by what most rows say about their words, and
 then REFITS times by the model itself. Every document is scored in whole.
 
-Defined results: null, empty, blank and wordless texts have no segment; markup is not text; quoted phrases inside a sentence and
-stretches of less than LEAST_WORDS words go with the sentence that they stand in or next to; a tie goes to the first code in
+Defined results: null, empty, blank and wordless texts have no segment; markup is not text; a quoted phrase inside a sentence, of
+whatever length, goes with it, and a sentence that does not tell its language by itself (a bare street name) with the one before; a tie goes to the first code in
 alphabetical order; without any labelled row there is no model and so no segment; repeated documents are each answered.
 """
 
@@ -61,15 +61,16 @@ SEED = 3
 
 ROWS_PER_LANGUAGE, LONGEST_SAMPLE, REFITS = 1500, 20_000, 1
 GRAMS = (4, 3, 2, 1)
-LEAST_WORDS = 3
+#: A sentence tells its language by itself where that is at least so likely; bare names and numbers do not.
+CLEAR = 0.4
 #: The weight of the background in a language's shares, of an unseen word, and of a word's form without accents; the least share of a
 #: word's rows that a label counts for when the sample is cleaned, and how far its overall share is taken off there.
 BACKGROUND, GRAM_WEIGHT, BARE_WEIGHT, LEAST_SHARE, LIFT = 1e-3, 0.5, 0.2, 0.02, 0.5
 REMEMBERED = 300_000
 
-_MARKUP = re.compile(r"<[^<>]{1,200}>|\[(?:PAD|CLS|SEP|UNK|MASK)\]")
+_MARKUP = re.compile(r"<[^<>]+>|\[(?:PAD|CLS|SEP|UNK|MASK)\]")
 _BREAK = re.compile(r"<(?:br|p|/p|div|/div|li|/li|tr|/tr|h\d|/h\d)\b[^<>]*>", re.I)
-_QUOTED = re.compile(r"“[^”\n]{1,200}”|«[^»\n]{1,200}»|„[^“”\n]{1,200}[“”]|(?<!\w)\"[^\"\n]{1,200}\"(?!\w)")
+_QUOTED = re.compile(r"“[^”\n]+”|«[^»\n]+»|„[^“”\n]+[“”]|(?<!\w)\"[^\"\n]+\"(?!\w)")
 _END = re.compile(r"[.!?…]+[\"'”»)\]]*(?=\s|$)|[。！？]+[”」』）]*|[\n\r\t\v\f\u2028\u2029]+")
 _WORD = re.compile(r"[\u3400-\u9fff\uf900-\ufaff]|[^\W\d_\u3400-\u9fff\uf900-\ufaff]+")
 
@@ -225,7 +226,7 @@ def sample(df: DataFrame, text: Column, label: Column, per_language: int = ROWS_
         return []
     shares = F.create_map(*(F.lit(x) for c, n in counts.items() for x in (c, int(min(1.0, per_language / n) * (1 << 30)))))
     picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < shares[F.col("code")]).distinct()
-    return [(r.code, r.text) for r in picked.limit(2 * per_language * len(CODES)).collect()]
+    return [(r.code, r.text) for r in picked.collect()]
 
 
 def segments(df: DataFrame, key: Column, text: Column, label: Column, model: Model | None) -> DataFrame:
@@ -257,13 +258,14 @@ def segments(df: DataFrame, key: Column, text: Column, label: Column, model: Mod
 
 
 def runs(p: np.ndarray, sizes: list[int]) -> list[tuple[int, int, float]]:
-    """(language, words, confidence) of the longest runs of sentences in one language. Short stretches go with the sentence before,
-    or with the first whole one; if there are only short ones, they count as they are."""
+    """(language, words, confidence) of the longest runs of sentences in one language. A sentence that is not clear by itself, of
+    however many words, goes with the sentence before, or with the first clear one; if none is clear, all count as they are."""
     best = p.argmax(axis=1).tolist() if len(p) else []
-    if any(n >= LEAST_WORDS for n in sizes):
-        now = next(b for b, n in zip(best, sizes, strict=True) if n >= LEAST_WORDS)
-        for i, n in enumerate(sizes):
-            now = best[i] = best[i] if n >= LEAST_WORDS else now
+    clear = (p.max(axis=1) >= CLEAR).tolist() if len(p) else []
+    if any(clear):
+        now = best[clear.index(True)]
+        for i, sure in enumerate(clear):
+            now = best[i] = best[i] if sure else now
     found: list[list] = []
     for i, (c, n) in enumerate(zip(best, sizes, strict=True)):
         if not found or found[-1][0] != c:

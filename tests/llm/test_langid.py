@@ -34,6 +34,17 @@ def test_segments(spark, model):
     assert {k for k, _ in every} == {1, 2, 3, 4, 5, 6, 7, 8, 13}
 
 
+def test_short_sentences_and_long_quotes(spark, model):
+    """One or two words are a sentence of their own if they tell their language; a bare name is none; quotes have no greatest length."""
+    de, en = "Das Dach wird in diesem Jahr noch erneuert.", "The roof will be renewed this year."
+    quote = " ".join(["Nadie sabe quién debe reparar la bomba"] * 9)
+    assert len(quote) > 300
+    texts = {1: f"{de} The roof. Die Arbeiten beginnen im Herbst.", 2: f"{en} Las obras. The work begins in autumn.", 3: f"{de} Gorse Street. Die Arbeiten beginnen im Herbst.", 4: f"{en} The sign says “{quote}” and stays.", 5: f'{en} <a title="{quote}">The work</a> begins in autumn.'}
+    every, _ = run(spark, model, [(k, t, "en", "", "") for k, t in texts.items()])
+    by = lambda k: [every[x] for x in sorted(every) if x[0] == k]
+    assert [by(k) for k in texts] == [["de", "en", "de"], ["en", "es", "en"], ["de"], ["en"], ["en"]]
+
+
 def test_held_out_accuracy(spark):
     """Sentences of half of the documents, by a model of the other half; the labels of the data are right for most documents."""
     docs = spark.read.parquet(SF).where("text is not null")
