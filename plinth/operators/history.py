@@ -38,18 +38,29 @@ def merged(*rows: DataFrame) -> DataFrame:
     return every.groupBy("entity", "period").agg(F.max("v").alias("v"))
 
 
-def chains_of(last: DataFrame, exact: Sequence[str], kept: Sequence[str]) -> DataFrame:
-    """Rows (entity, valid_from, valid_to, values...) of every version, from last delivered rows.
+def marked(last: DataFrame, exact: Sequence[str], kept: Sequence[str], by: Sequence[str] = ("entity",)) -> DataFrame:
+    """Last delivered rows with `state` and `valid_to`: set on the rows that begin a version, null on the others.
 
     exact: values that count as reported, null included; kept: values of which a null keeps the one reported before.
     """
-    names = [*exact, *kept]
-    chain = Window.partitionBy("entity").orderBy("period")
+    chain = Window.partitionBy(*by).orderBy("period")
     sofar = chain.rowsBetween(Window.unboundedPreceding, 0)
-    filled = last.select("entity", "period", *(F.col(f"v.{n}").alias(n) for n in exact), *(F.last(F.col(f"v.{n}"), ignorenulls=True).over(sofar).alias(n) for n in kept))
-    state = F.struct(*(F.col(n) for n in names))
-    starts = filled.withColumn("before", F.lag(state).over(chain)).where(F.col("before").isNull() | ~state.eqNullSafe(F.col("before")))
-    return starts.select("entity", F.col("period").alias("valid_from"), F.coalesce(F.lead("period").over(chain), F.lit(OPEN)).alias("valid_to"), *names)
+    state = F.struct(*(F.col(f"v.{n}").alias(n) for n in exact), *(F.last(F.col(f"v.{n}"), ignorenulls=True).over(sofar).alias(n) for n in kept))
+    rows = last.withColumn("_s", state).withColumn("_b", F.lag("_s").over(chain))
+    begins = F.col("_b").isNull() | ~F.col("_s").eqNullSafe(F.col("_b"))
+    rows = rows.withColumn("state", F.when(begins, F.col("_s"))).withColumn("_p", F.when(begins, F.col("period")))
+    after = F.expr(f"lead(_p) ignore nulls over (partition by {', '.join(by)} order by period)")
+    return rows.withColumn("valid_to", F.when(begins, F.coalesce(after, F.lit(OPEN)))).drop("_s", "_b", "_p")
+
+
+def chains_in(rows: DataFrame) -> DataFrame:
+    """Rows (entity, valid_from, valid_to, values...) of every version, from marked rows."""
+    return rows.where("state is not null").select("entity", F.col("period").alias("valid_from"), "valid_to", "state.*")
+
+
+def chains_of(last: DataFrame, exact: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """Rows (entity, valid_from, valid_to, values...) of every version, from last delivered rows."""
+    return chains_in(marked(last, exact, kept))
 
 
 def versions(raw: DataFrame, entity: Column, period: Column, order: Sequence[Column], exact: dict[str, Column], kept: dict[str, Column]) -> DataFrame:
@@ -68,7 +79,9 @@ def rebuild_affected(chains: DataFrame, raw: DataFrame, touched: DataFrame, buil
 
 
 class HistoryStore(Store):
-    """Last delivered rows and chains of entities. The number of buckets is set when the store is created and stays."""
+    """Last delivered rows of entities, of which those that begin a version carry it. Rows lie in buckets of entities; a bucket is built
+    by one task, as a bucket holds a bounded number of entities and an entity one row a period. The number of buckets is set when the
+    store is created."""
 
     def __init__(self, spark: SparkSession, folder: str, exact: Sequence[str], kept: Sequence[str], buckets: int = 64):
         super().__init__(spark, folder)
@@ -76,48 +89,52 @@ class HistoryStore(Store):
 
     def chains(self) -> DataFrame | None:
         """All chains, or None while there are none."""
-        return self.read("chains")
+        held = self.read("rows")
+        return None if held is None else chains_in(held)
+
+    def _put_rows(self, before: dict, rows: DataFrame, replaced: list[str] | None, buckets: int, sources: dict[str, Files] | None) -> None:
+        self.commit(before, {"rows": (schema_of(rows), self.write(rows, spread=False), replaced)}, sources, {"buckets": buckets})
+
+    def _built(self, last: DataFrame, buckets: int) -> DataFrame:
+        """Rows by bucket, each bucket in one task, with the chains built there: one shuffle for the order and for the files."""
+        placed = last.repartition(buckets, "bucket")
+        return marked(placed, self.exact, self.kept, ("bucket", "entity"))
 
     def create(self, last: DataFrame, sources: dict[str, Files] | None = None) -> None:
         """The first commit, or a full replacement, from last delivered rows."""
-        before = self.manifest()
-        rows = self.write(last.withColumn("bucket", bucket_of(F.col("entity"), self.buckets)))
-        shape = schema_of(last)
-        held = self.written(shape, rows)
-        built = chains_of(last if held is None else held, self.exact, self.kept)
-        made = self.write(built.withColumn("bucket", bucket_of(F.col("entity"), self.buckets)))
-        self.commit(before, {"last": (shape, rows, None), "chains": (schema_of(built), made, None)}, sources, {"buckets": self.buckets})
+        placed = last.withColumn("bucket", bucket_of(F.col("entity"), self.buckets))
+        self._put_rows(self.manifest(), self._built(placed, self.buckets), None, self.buckets, sources)
 
     def deliver(self, new: DataFrame, sources: dict[str, Files] | None = None) -> None:
-        """Affected-chain rebuild: last delivered rows of a new delivery go in, and the chains of the entities in it are rebuilt."""
+        """Affected-chain rebuild: last delivered rows of a new delivery go in, and the chains of the entities in it are rebuilt. The
+        delivery is written first, so that it is computed once and names its buckets."""
         before = self.manifest()
-        if not before["tables"].get("last", {}).get("buckets"):
+        if not before["tables"].get("rows", {}).get("buckets"):
             return self.create(new, sources)
         n = before["more"]["buckets"]
-        staged = self.write(new.withColumn("bucket", bucket_of(F.col("entity"), n)))
+        bucket = bucket_of(F.col("entity"), n)
+        staged = self.write(new.withColumn("bucket", bucket))
         hit = sorted(staged)
-        shape = schema_of(new)
         if not hit:
             return self.commit(before, {}, sources)
-        coming = self.written(shape, staged)
+        coming = self.written(schema_of(new), staged)
+        held = self.read("rows", hit, before)
+        if held is None:
+            return self._put_rows(before, self._built(coming.withColumn("bucket", bucket), n), hit, n, sources)
         touched = coming.select("entity").distinct()
-        held, old = self.read("last", hit, before), self.read("chains", hit, before)
-        rows = self.write((merged(coming) if held is None else merged(held, coming)).withColumn("bucket", bucket_of(F.col("entity"), n)))
-        affected = self.written(shape, rows).join(touched, "entity", "left_semi")
-        redone = chains_of(affected, self.exact, self.kept)
-        every = redone if old is None else old.join(touched, "entity", "left_anti").unionByName(redone)
-        made = self.write(every.withColumn("bucket", bucket_of(F.col("entity"), n)))
-        return self.commit(before, {"last": (shape, rows, hit), "chains": (schema_of(redone), made, hit)}, sources)
+        raw = held.join(touched, "entity", "left_semi").select("entity", "period", "v").unionByName(coming)
+        placed = raw.withColumn("bucket", bucket).repartition(n, "bucket")
+        # Two rows at most of an entity and period are left here, and they are in one task already.
+        last = placed.groupBy("bucket", "entity", "period").agg(F.max("v").alias("v"))
+        redone = marked(last, self.exact, self.kept, ("bucket", "entity"))
+        others = held.join(touched, "entity", "left_anti").withColumn("bucket", bucket).repartition(n, "bucket")
+        return self._put_rows(before, redone.unionByName(others), hit, n, sources)
 
     def withdraw(self, entities: DataFrame) -> None:
         """Take entities out with their rows and chains. entities: (entity), distinct."""
         before = self.manifest()
         n = before["more"].get("buckets", self.buckets)
         hit = sorted(r.b for r in entities.select(bucket_of(F.col("entity"), n).alias("b")).distinct().collect())  # at most as many as buckets
-        tables = {}
-        for name in ("last", "chains"):
-            if (held := self.read(name, hit, before)) is not None:
-                left = self.write(held.join(entities, "entity", "left_anti").withColumn("bucket", bucket_of(F.col("entity"), n)))
-                tables[name] = (schema_of(held), left, hit)
-        if tables:
-            self.commit(before, tables)
+        if (held := self.read("rows", hit, before)) is not None:
+            left = held.join(entities, "entity", "left_anti").withColumn("bucket", bucket_of(F.col("entity"), n)).repartition(n, "bucket")
+            self._put_rows(before, left, hit, n, None)

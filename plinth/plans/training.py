@@ -54,10 +54,13 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 EXACT, KEPT = ("budget",), ("phase", "forecast_completion")
 
 
+def _project_values() -> dict[str, Column]:
+    return {"budget": cents(F.col("budget")), "phase": squeezed(present(F.col("phase"))), "forecast_completion": day_of_text(F.col("forecast_completion"))}
+
+
 def project_rows(raw: DataFrame) -> DataFrame:
     """What counts of deliveries of project_history: the last row of each project and period."""
-    values = {"budget": cents(F.col("budget")), "phase": squeezed(present(F.col("phase"))), "forecast_completion": day_of_text(F.col("forecast_completion"))}
-    return history.last_delivered(raw, F.col("fms_id"), F.col("period"), [F.col("loaded_at"), F.col("row_id")], values)
+    return history.last_delivered(raw, F.col("fms_id"), F.col("period"), [F.col("loaded_at"), F.col("row_id")], _project_values())
 
 
 def late_from(period: Column) -> Column:
@@ -82,7 +85,7 @@ def history_store(spark: SparkSession, sf: str) -> history.HistoryStore:
     raw = table(spark, sf, "project_history")
     found = files_of(raw)
     buckets = max(16, sum(size for size, _ in found.values()) >> 26)  # by 64 MB of source files
-    store = history.HistoryStore(spark, kept_at(spark, "history", sf), EXACT, KEPT, buckets)
+    store = history.HistoryStore(spark, kept_at(spark, "history", sf, *_project_values().values()), EXACT, KEPT, buckets)
     wanted, sources = _refreshed(store, {"project_history": raw})
     if "project_history" not in wanted:
         return store
@@ -118,6 +121,10 @@ PROFILED = {
 SOURCE = {c: t for t, cs in PROFILED.items() for c in cs}
 
 
+def columns_of(columns: dict) -> list[Column]:
+    return [f(c) for c, fs in columns.items() for f in fs if f]
+
+
 def value_counts(df: DataFrame, name: str, sign: int = 1) -> DataFrame:
     """The signed value counts of rows of a profiled table."""
     columns = {c: (value(c), number(c) if number else None) for c, (value, number) in PROFILED[name].items()}
@@ -127,7 +134,8 @@ def value_counts(df: DataFrame, name: str, sign: int = 1) -> DataFrame:
 def count_store(spark: SparkSession, sf: str) -> profile.CountStore:
     """The kept value counts of the profiled columns, brought up to date in one commit: new files come in as plus; where a file has gone
     or changed, what is held of its table goes out as minus and the table comes in as plus."""
-    store = profile.CountStore(spark, kept_at(spark, "counts", sf))
+    made = [c for columns in PROFILED.values() for c in columns_of(columns)]
+    store = profile.CountStore(spark, kept_at(spark, "counts", sf, *made))
     tables = {name: table(spark, sf, name) for name in PROFILED}
     wanted, sources = _refreshed(store, tables)
     deltas = []
