@@ -35,12 +35,36 @@ def partial_difference(a: Column, b: Column) -> Column:
 
 
 def month_field(month: Column, year: Column) -> Column:
-    """OP-D04: month and year texts -> struct(value 'YYYY-MM', issue): null and no issue where both are empty."""
-    m, y = F.try_to_number(F.nullif(F.trim(month), F.lit("")), F.lit("99")).cast("int"), F.try_to_number(F.nullif(F.trim(year), F.lit("")), F.lit("9999")).cast("int")
-    empty = (F.coalesce(F.trim(month), F.lit("")) == "") & (F.coalesce(F.trim(year), F.lit("")) == "")
-    issue = F.when(empty, F.lit(None).cast("string")).when(m.isNull() | ~m.between(1, 12), "no month").when(y.isNull() | ~y.between(1990, 2060), "no plausible year")
-    value = F.when(~empty & issue.isNull(), F.format_string("%04d-%02d", y, m))
-    return F.struct(value.alias("value"), issue.alias("issue"))
+    """OP-D04: month and year texts -> struct(value, issue): 'YYYY-MM', or 'YYYY' where only the month is empty.
+
+    A part that is there and not plausible gives no value and the raw texts as the issue; where both are empty there is neither.
+    """
+    m, y = F.coalesce(F.trim(month), F.lit("")), F.coalesce(F.trim(year), F.lit(""))
+    good_year = y.rlike(r"^\d{4}$") & F.coalesce(y.try_cast("int").between(1990, 2060), F.lit(False))
+    good_month = m.rlike(r"^\d{1,2}$") & F.coalesce(m.try_cast("int").between(1, 12), F.lit(False))
+    whole = F.when(m == "", y).otherwise(F.concat_ws("-", y, F.lpad(m, 2, "0")))
+    plausible = good_year & (good_month | (m == ""))
+    empty = (m == "") & (y == "")
+    issue = F.when(~empty & ~plausible, F.concat(F.lit("month '"), m, F.lit("', year '"), y, F.lit("'")))
+    return F.struct(F.when(plausible, whole).alias("value"), issue.alias("issue"))
+
+
+def demangled(day: Column, mangled: Column) -> Column:
+    """OP-D05: struct(day, rule) of a date. In a mangled edition, month and two-digit year were read as a date: 2022-MM-YY stands for
+    20YY-MM, and a year of 1930 to 1949 lacks a century. 1900-01-01 stands for no date."""
+    cell = lambda d, rule: F.struct(d.cast("date").alias("day"), F.lit(rule).alias("rule"))
+    nothing = F.lit(None)
+    return (
+        F.when(day.isNull(), cell(nothing, "empty")).when(day == F.lit("1900-01-01").cast("date"), cell(nothing, "placeholder"))
+        .when(mangled & (F.year(day) == 2022), cell(F.make_date(F.lit(2000) + F.dayofmonth(day), F.month(day), F.lit(1)), "month and year read as month and day"))
+        .when(mangled & F.year(day).between(1930, 1949), cell(F.make_date(F.year(day) + 100, F.month(day), F.lit(1)), "century"))
+        .otherwise(cell(day, "as published"))
+    )
+
+
+def dollars(amount: Column, unit: str) -> Column:
+    """OP-M06: an amount of a unit as dollars."""
+    return amount * {"dollar": 1.0, "thousand": 1e3, "million": 1e6}[unit]
 
 
 def months_between_starts(a: Column, b: Column) -> Column:

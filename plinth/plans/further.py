@@ -174,9 +174,9 @@ def d03_coarser_difference(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("row_id", periods.partial_difference(a, b).cast("bigint").alias("days"))
 
 
-@query("""with m as (select row_id, nullif(cast(row_id % 15 as varchar), '14') as m, nullif(cast(1985 + row_id % 80 as varchar), '2000') as y from project_history)
-select row_id, case when coalesce(m, '') = '' and coalesce(y, '') = '' then null when m is null or cast(m as int) not between 1 and 12 then 'no month' when y is null or cast(y as int) not between 1990 and 2060 then 'no plausible year' end as issue,
-case when m is not null and y is not null and cast(m as int) between 1 and 12 and cast(y as int) between 1990 and 2060 then y || '-' || lpad(m, 2, '0') end as month from m""")
+@query("""with m as (select row_id, coalesce(nullif(cast(row_id % 15 as varchar), '14'), '') as m, coalesce(nullif(cast(1985 + row_id % 80 as varchar), '2000'), '') as y from project_history),
+t as (select *, y <> '' and cast(coalesce(nullif(y, ''), '0') as int) between 1990 and 2060 and (m = '' or cast(coalesce(nullif(m, ''), '0') as int) between 1 and 12) as ok from m)
+select row_id, case when not ok and (m <> '' or y <> '') then 'month ''' || m || ''', year ''' || y || '''' end as issue, case when ok then case when m = '' then y else y || '-' || lpad(m, 2, '0') end end as month from t""")
 def d04_month_fields(spark: SparkSession, sf: str) -> DataFrame:
     m = F.nullif((F.col("row_id") % 15).cast("string"), F.lit("14"))
     y = F.nullif((F.col("row_id") % 80 + 1985).cast("string"), F.lit("2000"))
