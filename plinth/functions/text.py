@@ -8,8 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Street words and their short forms; directions likewise.
-STREET_WORDS = {"STREET": "ST", "AVENUE": "AV", "AVE": "AV", "ROAD": "RD", "PLACE": "PL", "BOULEVARD": "BLVD", "LANE": "LN", "DRIVE": "DR", "COURT": "CT", "TERRACE": "TER", "PARKWAY": "PKWY", "SQUARE": "SQ"}
-DIRECTIONS = {"EAST": "E", "WEST": "W", "NORTH": "N", "SOUTH": "S"}
+STREET_WORDS = {
+    "AV": "AVE", "AVENUE": "AVE", "AVES": "AVE", "BEACH": "BCH", "BOULEVARD": "BLVD", "COURT": "CT", "DRIVE": "DR", "EXPRESSWAY": "EXPY", "EXPWY": "EXPY", "HIGHWAY": "HWY", "LANE": "LN",
+    "PARKWAY": "PKWY", "PLACE": "PL", "PLAZA": "PLZ", "ROAD": "RD", "SAINT": "ST", "SQUARE": "SQ", "STR": "ST", "STREET": "ST", "STREETS": "ST", "TERRACE": "TER", "TURNPIKE": "TPKE",
+}
+DIRECTIONS = {"EAST": "E", "NORTH": "N", "SOUTH": "S", "WEST": "W"}
+# Short forms that end a street's name.
+ENDINGS = ("ALY", "AVE", "BLVD", "BRG", "CIR", "CRES", "CT", "DR", "EXPY", "HWY", "LN", "LOOP", "OVAL", "PKWY", "PL", "PLZ", "RD", "ROW", "SQ", "ST", "TER", "TPKE", "WALK", "WAY")
 
 
 def tokens(text: Column) -> Column:
@@ -23,11 +28,75 @@ def distinctive(text: Column, common: Sequence[str]) -> Column:
 
 
 def street(text: Column) -> Column:
-    """OP-T03: 'East 72nd Street' -> 'E 72 ST'. Ordinal endings go only where they are the right ones."""
-    words = F.split(F.trim(F.regexp_replace(F.upper(text), r"[^A-Z0-9]+", " ")), " ")
+    """OP-T03: one form of a street name: capitals, short words, numbers without their ordinal endings.
+
+    TH and ND only ever end an ordinal. ST and RD do so after the numbers that take them (21ST, 43RD, not 11ST or 3ST); after others they
+    are the word for street or road. '41st Avenue' -> '41 AVE', 'North 8st' -> 'N 8 ST'.
+    """
+    words = F.filter(F.split(F.regexp_replace(F.upper(text), r"[^A-Z0-9]+", " "), " "), lambda w: w != "")
     short = F.create_map(*(F.lit(x) for kv in (STREET_WORDS | DIRECTIONS).items() for x in kv))
-    bare = lambda w: F.regexp_replace(w, r"^(\d*1[123])TH$|^(\d*(?<!1)1)ST$|^(\d*(?<!1)2)ND$|^(\d*(?<!1)3)RD$|^(\d*[04-9])TH$", "$1$2$3$4$5")
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(short, w), bare(w))), " ")
+    ordinal = lambda w: F.regexp_replace(w, r"^(\d+)(?:ND|TH)$|^(\d*(?<!1)1)ST$|^(\d*(?<!1)3)RD$", "$1$2$3")
+    apart = lambda w: F.regexp_replace(ordinal(w), r"^(\d+)(ST|RD)$", "$1 $2")
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(short, w), apart(w))), " ")
+
+
+def street_base(name: Column) -> Column:
+    """OP-T03: a street in one form without its last word, where that is one that ends names and not all of it."""
+    return F.regexp_replace(name, rf"(?<=\S) (?:{'|'.join(ENDINGS)})$", "")
+
+
+def after_house_number(title: Column, words: Column) -> Column:
+    """OP-T12: does a house number stand before one of the words, with at most two words between? Then it names a street there."""
+    at = F.upper(title)
+    return F.exists(words, lambda w: F.rlike(at, F.concat(F.lit(r"\b\d+[A-Z]?\s+(?:[A-Z]+\s+){0,2}"), w, F.lit(r"\b"))))
+
+
+#: The prefix of an agency before a title: 'DPKS - Sorrel Street Playground'.
+AGENCY_PREFIX = r"^\s*([A-Z]{2,6})\s*[-:]\s"
+
+
+def lead_word(title: Column, common: Sequence[str]) -> Column:
+    """OP-T13: the first distinctive word of a title after an agency prefix; null if it has none."""
+    words = tokens(F.regexp_replace(F.upper(title), AGENCY_PREFIX, ""))
+    return F.get(F.filter(words, lambda w: ~w.isin(*common)), F.lit(0))
+
+
+def admitted(words: Column, least: int = 5) -> Column:
+    """OP-H11: may a name with these distinctive words be looked up? Only with enough letters, and not by numbers alone."""
+    size = F.aggregate(F.transform(words, lambda w: F.length(w)), F.lit(0), lambda a, x: a + x)
+    return (F.size(words) > 0) & (size >= least) & ~F.forall(words, lambda w: w.rlike(r"^\d+$"))
+
+
+# Ordinal words and their numbers.
+ORDINALS = {"FIRST": "1", "SECOND": "2", "THIRD": "3", "FOURTH": "4", "FIFTH": "5", "SIXTH": "6", "SEVENTH": "7", "EIGHTH": "8", "NINTH": "9", "TENTH": "10"}
+
+
+def spelled_street(text: Column) -> Column:
+    """OP-H01: a street form of glued and spelled-out names: letters and numbers are parted ('E72' -> 'E 72'), ordinal words become
+    numbers, and the rest goes as in `street`."""
+    parted = F.regexp_replace(F.upper(text), r"(?<=[A-Z])(?=\d)", " ")
+    words = F.split(F.regexp_replace(parted, r"[^A-Z0-9]+", " "), " ")
+    number = F.create_map(*(F.lit(x) for kv in ORDINALS.items() for x in kv))
+    return street(F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(number, w), w)), " "))
+
+
+def named_number(text: Column) -> Column:
+    """OP-T16: struct(prefix, number, words) of a name such as 'P.S. 12 - Weir Annex': letters before a number, the number without
+    leading zeros, and the words after it."""
+    flat = F.regexp_replace(F.upper(text), r"[^A-Z0-9 ]+", "")
+    part = lambda i: F.regexp_extract(flat, r"^\s*([A-Z]{1,6})\s*0*(\d{1,4})\b\s*(.*)$", i)
+    return F.struct(F.nullif(part(1), F.lit("")).alias("prefix"), F.nullif(part(2), F.lit("")).cast("int").alias("number"), tokens(part(3)).alias("words"))
+
+
+def word_subset(part: Column, whole: Column) -> Column:
+    """OP-T16: are all words of one name, of which there is at least one, among those of another?"""
+    return (F.size(part) > 0) & (F.size(F.array_except(part, whole)) == 0)
+
+
+def fragments(text: Column) -> Column:
+    """OP-T23: 'p2: a | p3: b' -> array of struct(page, quote); pieces without a page have a null page."""
+    piece = lambda x: F.struct(F.nullif(F.regexp_extract(x, r"^\s*p(\d+):", 1), F.lit("")).cast("int").alias("page"), F.trim(F.regexp_replace(x, r"^\s*p\d+:", "")).alias("quote"))
+    return F.filter(F.transform(F.split(text, r"\|"), piece), lambda x: x["quote"] != "")
 
 
 def letters_key(text: Column) -> Column:

@@ -116,6 +116,12 @@ def extents(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [dict(zip(("street", "a", "b"), x, strict=True)) for x in extents_of(t)])
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def stretches(text: pd.Series, stations: pd.Series) -> pd.Series:
+    """OP-T20 as a column: the places, from 0, of the stations that a title names on a line given by its stations in order."""
+    return pd.Series([[names.index(x) for x in stretch_of(t, names)] for t, names in zip(text, map(list, stations), strict=True)])
+
+
 def named_parts(titles: DataFrame, key: str, title: Column, parts: DataFrame, part_id: str, name: Column, not_before: Sequence[str] = ()) -> DataFrame:
     """OP-T17: rows (key, part_id): places whose name stands in the title as whole words, without those inside a longer name found.
 

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.session import cut
@@ -109,6 +109,17 @@ def chained(lines: list[list[tuple[float, float]]]) -> list[tuple[float, float]]
         at = chain[-1]
 
 
+def chain_sizes(lines: Column, within: float) -> Column:
+    """OP-N03 as a column: of the pieces of one line, an array of polylines, the number of places of the chain that they make once ends
+    within `within` of each other are put together."""
+
+    @F.pandas_udf("bigint")
+    def run(pieces: pd.Series) -> pd.Series:
+        return pieces.map(lambda x: len(chained(snapped([[tuple(map(float, p)) for p in line] for line in x], within))))
+
+    return run(lines)
+
+
 def followed(arcs: DataFrame, start) -> DataFrame:
     """OP-N04: rows (step, node) from start along arcs (u, v), one way out of each node, to the end or the first node met again.
 

@@ -35,6 +35,14 @@ def region_or_nearest(points: DataFrame, point_id: Column, lon: Column, lat: Col
     return held.select("point_id", "ref_id", F.lit("inside").alias("basis")).unionByName(close)
 
 
+def region_distances(points: DataFrame, point_id: Column, lon: Column, lat: Column, edges: DataFrame, most_m: float) -> DataFrame:
+    """OP-G07: rows (point_id, ref_id, distance_m): every region within most_m of a point, at 0 m where it holds the point."""
+    spots = points.select(point_id.alias("point_id"), finite(lon).alias("lon"), finite(lat).alias("lat")).where("lon is not null and lat is not null").distinct()
+    near = _beside(spots, edges, most_m).groupBy("point_id", "ref_id").agg(F.min("d").alias("distance_m"))
+    held = spatial.inside(points, point_id, lon, lat, edges).select("point_id", "ref_id", F.lit(0.0).alias("distance_m"))
+    return near.unionByName(held).groupBy("point_id", "ref_id").agg(F.min("distance_m").alias("distance_m"))
+
+
 def along_lines(points: DataFrame, point_id: Column, lon: Column, lat: Column, pieces: DataFrame, most_m: float) -> DataFrame:
     """OP-J15: rows (point_id, ref_id, first_position): points within most_m of a line, with its first piece that comes so close.
 

@@ -140,19 +140,14 @@ def t04_agency_alias(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "project_budget_schedule").groupBy(F.coalesce(F.try_element_at(known, name), name).alias("agency")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""with f as (select row_id, list_distinct(list_concat(regexp_extract_all(coalesce(fms_id, ''), '[A-Z]{2,3}-?\d{7}[A-Z]?'), list_transform(regexp_extract_all(coalesce(fms_id, ''), '([A-Z]{2})[ _-]([A-Z]\d{7}[A-Z]?)', 0), lambda x: replace(replace(replace(x, ' ', ''), '_', ''), '-', '')))) as ids from nyc_capital_rows) select row_id, len(ids) as n from f""")
+@query(r"""with f as (select row_id, list_distinct(list_concat(regexp_extract_all(coalesce(fms_id, ''), '[A-Z]{2,3}-?\d{7}[A-Z]?'), list_transform(regexp_extract_all(coalesce(fms_id, ''), '([A-Z]{2})[ _-]([A-Z]\d{7}[A-Z]?)', 0), lambda x: replace(replace(replace(x, ' ', ''), '_', ''), '-', '')))) as ids from nyc_capital_rows) select row_id, unnest(ids) as id, unnest(range(1, len(ids) + 1)) as pos from f""")
 def t09_id_spellings(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-T09: ids in several spellings as one list, each once."""
+    """OP-T09: ids in several spellings in one form, each once, with their places."""
     text = F.coalesce("fms_id", F.lit(""))
     plain = F.regexp_extract_all(text, F.lit(r"[A-Z]{2,3}-?\d{7}[A-Z]?"), F.lit(0))
     spaced = F.transform(F.regexp_extract_all(text, F.lit(r"([A-Z]{2})[ _-]([A-Z]\d{7}[A-Z]?)"), F.lit(0)), lambda x: F.regexp_replace(x, "[ _-]", ""))
-    return table(spark, sf, "nyc_capital_rows").select("row_id", F.size(F.array_distinct(F.concat(plain, spaced))).cast("bigint").alias("n"))
-
-
-@query(r"""select row_id, regexp_matches(title, '(?i)\b\d+\s+gantry\b') as is_address, regexp_extract(upper(title), '^(?:[A-Z]{4} - )?([A-Z]{3,})', 1) as lead from nyc_capital_rows""")
-def t13_lead_token(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-T12, T13: is a token a street after a house number, and the leading word after a prefix."""
-    return table(spark, sf, "nyc_capital_rows").select("row_id", F.col("title").rlike(r"(?i)\b\d+\s+gantry\b").alias("is_address"), F.regexp_extract(F.upper("title"), r"^(?:[A-Z]{4} - )?([A-Z]{3,})", 1).alias("lead"))
+    ids = table(spark, sf, "nyc_capital_rows").select("row_id", F.posexplode(F.array_distinct(F.concat(plain, spaced))).alias("pos", "id"))
+    return ids.select("row_id", "id", (F.col("pos") + 1).cast("bigint").alias("pos"))
 
 
 @query("""select row_id, case when budget is null or not isfinite(budget) then '-' when abs(budget) >= 1e9 then cast(cast(floor(budget / 1e9) as bigint) as varchar) || 'B' when abs(budget) >= 1e6 then cast(cast(floor(budget / 1e6) as bigint) as varchar) || 'M' when abs(budget) >= 1e3 then cast(cast(floor(budget / 1e3) as bigint) as varchar) || 'K' else cast(cast(floor(budget) as bigint) as varchar) end as shown from nyc_capital_rows""")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from plinth.plans import basics, further, network, relational, spatialplans, temporal, textual, training
+from plinth.plans import basics, further, network, relational, spatialplans, temporal, textual, training, wording
 
-MODULES = (training, basics, relational, temporal, textual, spatialplans, network, further)
+MODULES = (training, basics, relational, temporal, textual, spatialplans, network, further, wording)
 
 
 def queries() -> dict[str, Callable]:
