@@ -77,11 +77,11 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""with {_CAND}, best as (select title, max({{'a': n, 'b': letters, 'c': station_no}}) as b from cand group by 1), top as (select c.*, b.b.c as best from cand c join best b on b.title = c.title and c.n = b.b.a and c.letters = b.b.b),
-far as (select t.title, t.best, max({HAV.format(a='s.lon', b='s.lat', c='t.lon', d='t.lat')}) as m from top t join station_reach s on s.station_no = t.best group by all) select title, best as station_no from far where m <= 15000""")
+far as (select t.title, t.best, max({HAV.format(a='s.lon', b='s.lat', c='t.lon', d='t.lat')}) as m from top t join station_reach s on s.station_no = t.best group by all) select title, best as station_no from far where m <= 40000""")
 def t14_unambiguous_match(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-T14: the best place of a title by words and letters; none where an equally good one lies more than 15 km from it."""
+    """OP-T14: the best place of a title by words and letters; none where an equally good one lies more than 40 km from it."""
     far = spatial.haversine_m(F.col("best.lon"), F.col("best.lat"), F.col("lon"), F.col("lat"))
-    found = text.unambiguous(candidates(spark, sf).select("title", "station_no", "lon", "lat", "n", "letters"), "title", [F.col("n"), F.col("letters")], far, 15_000.0)
+    found = text.unambiguous(candidates(spark, sf).select("title", "station_no", "lon", "lat", "n", "letters"), "title", [F.col("n"), F.col("letters")], far, 40_000.0)
     return found.select("title", "station_no")
 
 
@@ -112,7 +112,7 @@ def t16_numbered_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""with {_CAND}, f as (select c.*, split_part(upper(s.station), ' ', 2) as kind from cand c join station_reach s using (station_no)), g as (select *, contains(upper(title), kind) as settled from f),
 k as (select title, station_no, lon, lat from g qualify not settled and bool_or(settled) over (partition by title) = false or settled)
-select title, min(station_no) as station_no, count(*) as n from k group by 1 having max(lon) - min(lon) < 0.15 and max(lat) - min(lat) < 0.15""")
+select title, min(station_no) as station_no, count(*) as n from k group by 1 having max(lon) - min(lon) < 0.4 and max(lat) - min(lat) < 0.4""")
 def t18_settled_by_feature(spark: SparkSession, sf: str) -> DataFrame:
     """OP-T18: places that share the name carried are settled by a second feature in the title; those left have to lie together."""
     kind = table(spark, sf, "station_reach").select("station_no", F.get(F.split(F.upper("station"), " "), F.lit(1)).alias("kind"))
@@ -120,7 +120,7 @@ def t18_settled_by_feature(spark: SparkSession, sf: str) -> DataFrame:
     folded = c.groupBy("title").agg(F.max("settled").alias("any"), F.collect_list(F.struct("settled", "station_no", "lon", "lat")).alias("x"))  # a title has few candidates
     kept = F.filter("x", lambda p: p["settled"] == F.col("any"))
     spread = lambda n: F.array_max(kept[n]) - F.array_min(kept[n])
-    return folded.where((spread("lon") < 0.15) & (spread("lat") < 0.15)).select("title", F.array_min(kept["station_no"]).alias("station_no"), F.size(kept).cast("bigint").alias("n"))
+    return folded.where((spread("lon") < 0.4) & (spread("lat") < 0.4)).select("title", F.array_min(kept["station_no"]).alias("station_no"), F.size(kept).cast("bigint").alias("n"))
 
 
 @query("""with t as (select row_id, upper(split_part(title, ' ', 1) || ' ' || split_part(title, ' ', 2)) as street from nyc_capital_rows where regexp_matches(title, '^[A-Za-z]+ (Street|Avenue|Road|Lane|Court|Place|STREET|AVENUE|ROAD|LANE|COURT|PLACE) ')) select row_id, street, 'ALDER STREET' as a, 'BIRCH AVENUE' as b from t""")
