@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from plinth.plans import basics, composites, further, network, relational, spatialplans, temporal, textual, training, wording
+from plinth.plans import basics, composites, further, network, relational, roundtrips, spatialplans, temporal, textual, training, wording
 
-MODULES = (training, basics, relational, temporal, textual, spatialplans, network, further, wording, composites)
+MODULES = (training, basics, relational, temporal, textual, spatialplans, network, further, wording, composites, roundtrips)
 
 
 def queries() -> dict[str, Callable]:

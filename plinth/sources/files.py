@@ -153,7 +153,7 @@ def write_json(df: DataFrame, path: str, manifest: str | None = None) -> dict:
 
 def write_csv(df: DataFrame, path: str, key: Sequence[str]) -> None:
     """OP-S22: CSV sorted by key, for review; range-sorted parts, in the order of their names."""
-    df.orderBy(*key).write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
+    df.orderBy(*key).write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:
