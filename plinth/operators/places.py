@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,24 @@ def nearest_within(points: DataFrame, point_id: Column, lon: Column, lat: Column
     return pairs.groupBy("point_id").agg(F.min(F.struct("distance_m", "ref_id")).alias("m")).select("point_id", "m.ref_id", "m.distance_m")
 
 
+def nearest(points: DataFrame, point_id: Column, lon: Column, lat: Column, centres: DataFrame, ref_id: Column, c_lon: Column, c_lat: Column, first_m: float = 2000.0) -> DataFrame:
+    """OP-J06: rows (point_id, ref_id, distance_m): the nearest centre of every point, however far, the smaller ref_id of equals.
+
+    Rings grow fourfold from first_m; each round looks at the points that are still without a centre only, in cells around the centres,
+    so no point meets all of them. The rounds end when every point has one, at the latest with half the globe.
+    """
+    left = spatial._placed(points, point_id, lon, lat).dropDuplicates(["point_id"])
+    found, radius = None, first_m
+    while True:
+        left = cut(left)
+        got = cut(nearest_within(left, F.col("point_id"), F.col("lon"), F.col("lat"), centres, ref_id, c_lon, c_lat, radius))
+        found = got if found is None else found.unionByName(got)
+        left = left.join(got, "point_id", "left_anti")
+        if radius > math.pi * spatial.EARTH_M or left.isEmpty():
+            return found
+        radius *= 4
+
+
 def region_or_nearest(points: DataFrame, point_id: Column, lon: Column, lat: Column, edges: DataFrame, most_m: float) -> DataFrame:
     """OP-J12, J13: rows (point_id, ref_id, basis): the first region that holds a point, else the nearest one within most_m.
 

@@ -6,9 +6,10 @@ for the exact great-circle distance.
 
 Inside: the edges of all regions are binned into latitude strips, points join the edges of their own strip, and the crossings
 of the ray to the east are grouped by point and region; an odd number is inside. A point on an edge is counted by the half-open
-rule (lower end in, upper end out, edge itself to the west), so that of two regions that share an edge exactly one holds it.
+rule (lower end in, upper end out, edge itself to the west), so that of two regions that share an edge exactly one holds it; `touching`
+also tells the others.
 
-The smaller side is broadcast when a count shows it to be small; otherwise both sides are shuffled by cell or strip, points of
+The smaller side is broadcast when it is measured to be small; otherwise both sides are shuffled by cell or strip, points of
 hot bins being spread by a salt over which the other side is repeated.
 
 Defined results: points without two finite coordinates match nothing; repeated rows of one point count once; a radius that is
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.values import finite
-from plinth.session import small
+from plinth.session import BROADCAST_BYTES, measured
 
 EARTH_M = 6_371_000.0
 SALTS = 16
@@ -49,29 +50,30 @@ def near(points: DataFrame, point_id: Column, lon: Column, lat: Column, centres:
     """Rows (ref_id, point_id, distance_m): every point within radius_m of a centre."""
     around = _placed(centres, F.struct(ref_id.alias("ref_id"), finite(radius_m.cast("double")).alias("r")), c_lon, c_lat)
     around = around.select("point_id.ref_id", "point_id.r", F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat")).where("r >= 0")
-    widest = around.agg(F.max("r")).first()[0]
-    if widest is None:
-        widest = 1.0
-    # Cells as wide as the widest reach, and not below 50 m: a reach meets at most two cells along each axis, plus rounding.
-    cell = max(2 * math.sin(min(widest / (2 * EARTH_M), math.pi / 2)), 50 / EARTH_M) * 2.000001
+    # Reaches of a class are up to 50 m, 100 m, 200 m and so on; its cells are as wide as its widest reach, so a reach meets at most two
+    # of them along each axis, plus rounding, and one wide reach does not widen the cells of the others.
+    around = around.withColumn("class", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("r"), F.lit(1e-9)) / 50))).cast("int"))
+    classes = sorted(r["class"] for r in around.select("class").distinct().collect())  # at most 20: half the globe is 20,016 km
+    width = lambda k: max(2 * math.sin(min(50.0 * 2**k / (2 * EARTH_M), math.pi / 2)), 50 / EARTH_M) * 2.000001
+    cell = F.element_at(F.create_map(*(F.lit(x) for k in classes or [0] for x in (k, width(k)))), F.col("class"))
     chord = F.lit(2.000002) * F.sin(F.least(F.col("r") / (2 * EARTH_M), F.lit(math.pi / 2))) + 1e-12
-    boxes = around.select("*", *(x.alias(n) for x, n in zip(_xyz(F.col("c_lon"), F.col("c_lat")), "xyz", strict=True)), chord.alias("h"))
+    boxes = around.withColumn("cell", cell).select("*", *(x.alias(n) for n, x in zip("xyz", _xyz(F.col("c_lon"), F.col("c_lat")), strict=True)), chord.alias("h"))
     for n in "xyz":
-        boxes = boxes.withColumn(f"c{n}", F.explode(F.sequence(F.floor((F.col(n) - F.col("h")) / cell), F.floor((F.col(n) + F.col("h")) / cell))))
-    boxes = boxes.drop("x", "y", "z", "h")
-    spots = _placed(points, point_id, lon, lat)
-    spots = spots.select("*", *(F.floor(x / cell).alias(f"c{n}") for x, n in zip(_xyz(F.col("lon"), F.col("lat")), "xyz", strict=True)))
-    pairs = _bin_join(spots, boxes, ["cx", "cy", "cz"])
+        boxes = boxes.withColumn(f"c{n}", F.explode(F.sequence(F.floor((F.col(n) - F.col("h")) / F.col("cell")), F.floor((F.col(n) + F.col("h")) / F.col("cell")))))
+    boxes = boxes.drop("x", "y", "z", "h", "cell")
+    spots = _placed(points, point_id, lon, lat).withColumn("class", F.explode(F.array(*map(F.lit, classes)).cast("array<int>")))
+    spots = spots.withColumn("cell", cell).select("*", *(F.floor(x / F.col("cell")).alias(f"c{n}") for n, x in zip("xyz", _xyz(F.col("lon"), F.col("lat")), strict=True))).drop("cell")
+    pairs = _bin_join(spots, boxes, ["class", "cx", "cy", "cz"])
     d = haversine_m(F.col("c_lon"), F.col("c_lat"), F.col("lon"), F.col("lat"))
     return pairs.select("ref_id", "point_id", "r", d.alias("distance_m")).where("distance_m <= r").groupBy("ref_id", "point_id").agg(F.min("distance_m").alias("distance_m"))
 
 
 def _bin_join(spots: DataFrame, binned: DataFrame, on: list[str]) -> DataFrame:
-    side = small(binned)
-    if side is not binned:
-        return spots.join(side, on)
+    side, size = measured(binned)
+    if size <= BROADCAST_BYTES:
+        return spots.join(F.broadcast(side), on)
     salted = spots.withColumn("salt", F.pmod(F.xxhash64("point_id", "lon", "lat"), F.lit(SALTS)))
-    return salted.join(binned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), [*on, "salt"]).drop("salt")
+    return salted.join(side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), [*on, "salt"]).drop("salt")
 
 
 def edges(regions: DataFrame, ref_id: Column, geojson: Column) -> DataFrame:
@@ -86,8 +88,13 @@ def edges(regions: DataFrame, ref_id: Column, geojson: Column) -> DataFrame:
     return pairs.select("ref_id", at("a", 0).alias("ax"), at("a", 1).alias("ay"), at("b", 0).alias("bx"), at("b", 1).alias("by")).where("ay is not null and by is not null and ax is not null and bx is not null")
 
 
-def inside(points: DataFrame, point_id: Column, lon: Column, lat: Column, sides: DataFrame, strip: float = 0.01) -> DataFrame:
-    """Rows (ref_id, point_id, on_edge): every region, given by its edges, that holds a point; strip is in degrees."""
+def inside(points: DataFrame, point_id: Column, lon: Column, lat: Column, sides: DataFrame, strip: float = 0.01, touching: bool = False) -> DataFrame:
+    """Rows (ref_id, point_id, on_edge): every region, given by its edges, that holds a point; strip is in degrees.
+
+    A point on an edge belongs to the region above or to the right of it (ends of edges: lower ones in, upper ones out), so that one of
+    two neighbours holds it, and none does on the upper and right sides of the outermost. touching: also the regions on whose edges or
+    corners a point lies without being held, with a column `held`.
+    """
     binned = sides.withColumn("strip", F.explode(F.sequence(F.floor(F.least("ay", "by") / strip), F.floor(F.greatest("ay", "by") / strip))))
     # One row per place of a point. The parity groups hold the same columns, so this is the only shuffle of the points.
     spots = _placed(points, point_id, lon, lat).dropDuplicates(["point_id", "lon", "lat"])
@@ -95,11 +102,13 @@ def inside(points: DataFrame, point_id: Column, lon: Column, lat: Column, sides:
     x, y = F.col("lon"), F.col("lat")
     straddles = (F.col("ay") > y) != (F.col("by") > y)
     level = (F.col("ay") == y) & (F.col("by") == y) & x.between(F.least("ax", "bx"), F.greatest("ax", "bx"))
-    pairs = _bin_join(spots, binned, ["strip"]).where((straddles & (x <= F.greatest("ax", "bx"))) | level)
+    corner = (F.col("ay") == y) & (F.col("ax") == x)  # each corner begins one edge
+    pairs = _bin_join(spots, binned, ["strip"]).where((straddles & (x <= F.greatest("ax", "bx"))) | level | corner)
     # Division by zero cannot happen: a level edge does not straddle.
     cross_x = F.when(straddles, F.col("ax") + (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / F.when(straddles, F.col("by") - F.col("ay")))
-    met = pairs.withColumn("cross_x", cross_x).where(level | (x <= F.col("cross_x")))
+    met = pairs.withColumn("cross_x", cross_x).where(level | corner | (x <= F.col("cross_x")))
     counted = met.groupBy("point_id", "lon", "lat", "ref_id").agg(
-        F.count(F.when(x < F.col("cross_x"), 1)).alias("n"), F.max(level | (x == F.col("cross_x"))).alias("on_edge")
+        F.count(F.when(x < F.col("cross_x"), 1)).alias("n"), F.max(level | corner | F.coalesce(x == F.col("cross_x"), F.lit(False))).alias("on_edge")
     )
-    return counted.where("n % 2 = 1").groupBy("ref_id", "point_id").agg(F.max(F.coalesce("on_edge", F.lit(False))).alias("on_edge"))
+    held = counted.withColumn("held", F.col("n") % 2 == 1).where("held or on_edge" if touching else "held")
+    return held.groupBy("ref_id", "point_id").agg(F.max("on_edge").alias("on_edge"), *([F.max("held").alias("held")] if touching else []))

@@ -214,13 +214,12 @@ def g18_rounded_shapes(spark: SparkSession, sf: str) -> DataFrame:
 n as (select p.point_id, d.borough, {HAV.format(a='d.lon', b='d.lat', c='p.lon', d='p.lat')} as m from town p cross join ref_community_districts d), g as (select point_id, arg_min(borough, (m, borough)) as near from n group by 1)
 select p.point_id, p.fms_id, b.borough as said, g.near as found from town p join b using (fms_id) join g using (point_id) where b.borough <> g.near""")
 def q05_borough_conflict(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-Q05: points that lie nearest to another borough than their project names; the label points are a fixed table."""
+    """OP-Q05: points that lie nearest to another borough than their project names."""
     d = table(spark, sf, "ref_community_districts")
-    names = d.select("borough").distinct()
-    said = latest.mode(table(spark, sf, "project_budget_schedule").join(F.broadcast(names), "borough", "left_semi"), ["fms_id"], "borough").select("fms_id", F.col("borough").alias("said"))
-    centres = d.agg(F.collect_list(F.struct("borough", "lon", "lat")).alias("c"))
-    near = F.array_min(F.transform("c", lambda c: F.struct(spatial.haversine_m(c["lon"], c["lat"], F.col("lon"), F.col("lat")).alias("m"), c["borough"].alias("borough"))))["borough"]
-    return town(spark, sf).join(said, "fms_id").join(F.broadcast(centres)).select("point_id", "fms_id", "said", near.alias("found")).where("said != found")
+    said = latest.mode(table(spark, sf, "project_budget_schedule").join(F.broadcast(d.select("borough").distinct()), "borough", "left_semi"), ["fms_id"], "borough").select("fms_id", F.col("borough").alias("said"))  # a fixed table
+    place = F.struct(F.col("borough"), F.col("boro_cd"))
+    near = places.nearest(town(spark, sf), F.col("point_id"), F.col("lon"), F.col("lat"), d, place, F.col("lon"), F.col("lat")).select("point_id", F.col("ref_id.borough").alias("found"))
+    return town(spark, sf).join(said, "fms_id").join(near, "point_id").select("point_id", "fms_id", "said", "found").where("said != found")
 
 
 @query("""with m as (select fms_id, left(fms_id, 2) as plan, arg_min(budget, (period, row_id)) as a, arg_max(budget, (period, row_id)) as z from project_history where fms_id is not null group by 1, 2) select plan, count(*) as members, round(sum(a), 2) as first_total, round(sum(z), 2) as last_total from m group by 1""")

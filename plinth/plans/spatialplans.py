@@ -42,10 +42,10 @@ def g01_nearest_station(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""with {IN_TOWN}, d as (select point_id, boro_cd, {HAV.format(a='s.lon', b='s.lat', c='p.lon', d='p.lat')} as m from town p cross join ref_community_districts s)
 select point_id, boro_cd from d qualify row_number() over (partition by point_id order by m, boro_cd) = 1""")
 def j06_nearest_centroid(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-J06: the nearest of 59 label points. The centres are a fixed table: they ride along as one array of each task."""
-    centres = table(spark, sf, "ref_community_districts").agg(F.collect_list(F.struct("boro_cd", "lon", "lat")).alias("c"))
-    near = F.array_min(F.transform("c", lambda c: F.struct(spatial.haversine_m(c["lon"], c["lat"], F.col("lon"), F.col("lat")).alias("d"), c["boro_cd"].alias("boro_cd"))))
-    return town(spark, sf).join(F.broadcast(centres)).select("point_id", near["boro_cd"].alias("boro_cd"))
+    """OP-J06: the nearest label point, by growing rings of cells."""
+    d = table(spark, sf, "ref_community_districts")
+    found = places.nearest(town(spark, sf), F.col("point_id"), F.col("lon"), F.col("lat"), d, F.col("boro_cd"), F.col("lon"), F.col("lat"))
+    return found.select("point_id", F.col("ref_id").alias("boro_cd"))
 
 
 @query(f"""with {IN_TOWN}, {EDGES}, held as (select point_id, min(boro_cd) as ref_id from (select boro_cd, point_id from town join edges on (ay > lat) <> (by_ > lat) and lon < ax + (lat - ay) * (bx - ax) / (by_ - ay) group by all having count(*) % 2 = 1) group by 1),

@@ -11,7 +11,7 @@ from plinth.functions.values import cents, day_of_text, finite, present, squeeze
 from plinth.plans import training_sql
 from plinth.operators import history, packed, profile, snapshots, spatial
 from plinth.operators.store import Files, Store, files_of, kept_at, news
-from plinth.session import cut, small
+from plinth.session import small
 from plinth.sources.tables import table
 
 
@@ -106,6 +106,18 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return chains.select(F.col("entity").alias("fms_id"), "valid_from", "valid_to")
 
 
+def p4_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The points that lie exactly on an edge or corner of a district, and whether the district holds them (see spatial.inside)."""
+    points, districts = table(spark, sf, "loc_cpdb_points"), table(spark, sf, "ref_community_districts")
+    sides = spatial.edges(districts, F.col("boro_cd"), F.col("geojson"))
+    # Beside the stored points, the corners of the districts themselves, under ids below zero: all of them lie on edges.
+    corners = sides.groupBy("ax", "ay").agg(F.min("ref_id").alias("r")).select((-F.pmod(F.xxhash64("ax", "ay"), F.lit(1 << 40)) - 1).alias("point_id"), F.col("ax").alias("lon"), F.col("ay").alias("lat"))
+    every = points.select("point_id", "lon", "lat").unionByName(corners)
+    met = spatial.inside(every, F.col("point_id"), F.col("lon"), F.col("lat"), sides, touching=True).where("on_edge")
+    at = every.select("point_id", "lon", "lat").distinct()
+    return met.join(at, "point_id").select(F.col("ref_id").alias("boro_cd"), "lon", "lat", "held").distinct()
+
+
 #: What ill-formed means in numbers and dates.
 SPEND_RANGE = (0.0, 5_000_000_000.0)
 DATE_RANGE = ("1990-01-01", "2060-12-31")
@@ -189,7 +201,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
         name = F.col("column_name")
         return df.select(named[name].alias("table_name"), name.alias("column_name"), F.lit(kind).alias("kind"), F.col(ref).cast("bigint").alias("ref_id"))
 
-    odd = small(cut(ill_formed(counts, boards(spark, sf))))
+    odd = small(ill_formed(counts, boards(spark, sf)))
     bad = []
     for name, columns in PROFILED.items():
         cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns))
@@ -206,5 +218,5 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (ill, shown(rates, "null_rate"), shown(shares, "value_share"), shown(middle.where(apart), "median")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p7_found, p7_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_edges, p5_found, p7_found, p7_profile)}
 SQL = training_sql.SQL

@@ -59,6 +59,18 @@ select distinct 'reach', cast(s.station_no as bigint), p.point_id from pts p joi
 
 
 
+P4_EDGES = """
+with shapes as (select boro_cd, unnest(cast(json_extract(geojson, '$.coordinates') as double[][][][])) as polygon from ref_community_districts),
+rings as (select boro_cd, unnest(polygon) as ring from shapes),
+sides as (select boro_cd, ring[i] as a, ring[case when i = len(ring) then 1 else i + 1 end] as b from (select boro_cd, ring, unnest(range(1, len(ring) + 1)) as i from rings)),
+edges as (select boro_cd, a[1] as ax, a[2] as ay, b[1] as bx, b[2] as by_ from sides),
+pts as (select lon, lat from loc_cpdb_points where isfinite(lon) and isfinite(lat) union select ax, ay from edges),
+met as (select boro_cd, lon, lat, (ay > lat) <> (by_ > lat) as straddles, case when (ay > lat) <> (by_ > lat) then ax + (lat - ay) * (bx - ax) / (by_ - ay) end as cx, ay = lat and by_ = lat and lon between least(ax, bx) and greatest(ax, bx) as level, ax = lon and ay = lat as corner
+  from pts join edges on lat between least(ay, by_) and greatest(ay, by_))
+select boro_cd, lon, lat, count(*) filter (straddles and lon < cx) % 2 = 1 as held from met group by all having bool_or(level or corner or coalesce(lon = cx, false))
+"""
+
+
 def _text(c: str) -> str:
     bare = f"regexp_replace({c}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
     return f"case when lower({bare}) not in ({_MISSING}) then {bare} end"
@@ -121,4 +133,4 @@ select column_name, load, cast(sum(n) as bigint) as n_rows, cast(sum(case when v
 from counts group by all
 """
 
-SQL = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5, "p7_found": P7, "p7_profile": P7_PROFILE}
+SQL = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p4_edges": P4_EDGES, "p5_found": P5, "p7_found": P7, "p7_profile": P7_PROFILE}

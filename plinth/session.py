@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only when it is shown to hold no more rows than this.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only when it is measured to be no larger than this.
+BROADCAST_BYTES = 32 << 20
 
 
 def local_session(cores: int | None = None, name: str = "plinth") -> SparkSession:
@@ -45,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="plinth-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     sc.setCheckpointDir(made)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -61,6 +65,7 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(str(made))
+    atexit.register(shutil.rmtree, str(made.parent), ignore_errors=True)
     sc._plinth_shipped = True
 
 
@@ -70,6 +75,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it holds at most `rows` rows (counted, no further than that), else df as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(df: DataFrame) -> Column:
+    """The bytes of a row, near enough: eight a value, and the lengths of texts and of what is nested."""
+    plain = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    nested = [f.name for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))]
+    parts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in plain]
+    parts += [F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c in nested]
+    return sum(parts, F.lit(8 * len(df.columns)))
+
+
+def measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """df, written to the shared folder, and its size in bytes, told by the job that writes it: it is computed once."""
+    seen = Observation()
+    written = cut(df.observe(seen, F.coalesce(F.sum(_width(df).cast("bigint")), F.lit(0)).alias("bytes")))
+    return written, seen.get["bytes"]
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, measured, with a broadcast hint if it is no larger than `most` bytes, else without."""
+    written, size = measured(df)
+    return F.broadcast(written) if size <= most else written
