@@ -43,6 +43,13 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, val
     return seen.where("_row is not null").select("_row.*", *(hit[v].alias(v) for v in values), hit["_t"].alias("matched_time"))
 
 
+def as_of_by_time(left: DataFrame, right: DataFrame, time: str, values: Sequence[str], forward: bool = False) -> DataFrame:
+    """as_of without keys: the values are found for the distinct times of left, of which there are few beside its rows, and joined back."""
+    times = left.select(time).where(F.col(time).isNotNull()).distinct().withColumn("_k", F.lit(1))
+    found = as_of(times, right.withColumn("_k", F.lit(1)), ["_k"], time, values, forward).drop("_k")
+    return left.join(found, time, "left")
+
+
 def carried(members: DataFrame, dates: DataFrame, observed: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:
     """OP-J21, W11: rows (keys..., time, value, carried): the last value of every member at every date.
 

@@ -39,11 +39,14 @@ def deduplicated_totals(df: DataFrame, entity: str, part: str, period: str, valu
     """OP-A03: rows (entity, period, n_parts, total) at each entity's last period.
 
     A value repeats over the rows of one (entity, part, period), so the greatest of them is taken once; the parts of the last
-    period of the entity are added up. Both steps group by the entity first, so they share one shuffle.
+    period of the entity are added up. Rows are brought down to one a part and period, combined before their shuffle, and then shuffled
+    once more by entity, which serves both steps that follow.
     """
-    record = df.groupBy(entity, part, period).agg(F.max(value).alias("_v"))
+    record = df.groupBy(entity, part, period).agg(F.max(value).alias("_v")).repartition(entity)
     per_period = record.groupBy(entity, period).agg(F.count(F.lit(1)).alias("n_parts"), F.sum("_v").alias("total"))
-    return per_period.groupBy(entity).agg(F.max(F.struct(period, "n_parts", "total")).alias("_m")).select(entity, f"_m.{period}", "_m.n_parts", "_m.total")
+    top = F.coalesce(period, F.lit(-(1 << 31)).cast(df.schema[period].dataType))  # a null period comes first
+    last = [F.max_by(F.struct(period, "n_parts", "total"), top).alias("_m")]
+    return per_period.groupBy(entity).agg(*last).select(entity, f"_m.{period}", "_m.n_parts", "_m.total")
 
 
 def mode(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

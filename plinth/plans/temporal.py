@@ -142,11 +142,11 @@ INDEX = "idx as (select cast(date_trunc('day', ts) as date) as day, round(avg(va
 @query(f"""with {INDEX}, o as (select o_orderkey, cast(o_orderdate as date) as d, date '2024-01-01' + cast(o_orderkey % 45 as integer) as day from orders)
 select o_orderkey, o.day, idx.level from o asof left join idx on o.day >= idx.day""", days=("day",))
 def j09_asof_index(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-J09: the latest index level at or before a day."""
-    left = table(spark, sf, "orders").select("o_orderkey", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 45).cast("int")).alias("day")).withColumn("k", F.lit(1))
-    index = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("level")).withColumn("k", F.lit(1))
-    # One key for all rows: weeks keep every sort small.
-    return asof.as_of(left, index, ["k"], "day", ["level"], bucket=F.datediff("day", F.lit("1970-01-01").cast("date")) / 7).select("o_orderkey", "day", "level")
+    """OP-J09: the latest index level at or before a day. The level is looked up once for each distinct day, then joined by day, so rows
+    of a day are neither sorted nor gathered."""
+    left = table(spark, sf, "orders").select("o_orderkey", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 45).cast("int")).alias("day"))
+    index = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("level"))
+    return asof.as_of_by_time(left, index, "day", ["level"]).select("o_orderkey", "day", "level")
 
 
 @query("""with s as (select pid, reporting_period as period, max(cast(completion_date as date)) as finish from schedule_history where pid > 0 and completion_date is not null and reporting_period is not null group by all), p as (select distinct pid, reporting_period as period from project_budget_schedule where pid > 0),
