@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _KIND = r"(?:STREET|ST|AVENUE|AVE|AV|ROAD|RD|PLACE|PL|LANE|LN|COURT|CT|TERRACE|TER|BOULEVARD|BLVD|DRIVE|DR|PARKWAY|PKWY|ROW|SQUARE|SQ)"
-_ADDRESS = re.compile(rf"\b(\d{{1,5}}(?:-\d{{1,3}})?)\s+((?:[A-Z0-9][\w'.-]*\s+){{1,3}}?{_KIND})\b\.?", re.I)
+#: House numbers and street words end where no Latin letter or digit follows, so that they are found inside texts without blanks too.
+_ADDRESS = re.compile(rf"(?<![A-Za-z0-9_])(\d{{1,5}}(?:-\d{{1,3}})?)\s+((?:[A-Z0-9][\w'.-]*\s+){{1,3}}?{_KIND})(?![A-Za-z0-9_])\.?", re.I)
 # The long form of each street word.
 _LONG = {"ST": "STREET", "AVE": "AVENUE", "AV": "AVENUE", "RD": "ROAD", "PL": "PLACE", "LN": "LANE", "CT": "COURT", "TER": "TERRACE", "BLVD": "BOULEVARD", "DR": "DRIVE", "PKWY": "PARKWAY", "SQ": "SQUARE"}
 #: Words that show that a number before a street word is prose.

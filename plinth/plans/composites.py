@@ -10,6 +10,7 @@ from plinth.functions.values import cents, finite, present, squeezed
 from plinth.operators import areas, asof, change, facets, latest, places, ranks, rules, spatial
 from plinth.plans.basics import _BAND_SQL, _BANDS, record_facets
 from plinth.plans.book import Book
+from plinth.plans.further import LINES, line_edges
 from plinth.plans.spatialplans import EDGES, HAV, IN_TOWN, district_edges, town
 from plinth.plans.wording import _CAND, candidates
 from plinth.sources import files
@@ -505,11 +506,20 @@ def c05_export_record(spark: SparkSession, sf: str) -> DataFrame:
     return export_records(spark, sf)
 
 
-@query("""select fms_id, to_json(struct_pack(fms_id := fms_id, program := program)) as story, count(*) as records from nyc_capital_rows where status = 'current' and fms_id is not null group by fms_id, program""")
+@query(f"""with {IN_TOWN}, {EDGES}, h as (select point_id, min(boro_cd) as cd from (select point_id, boro_cd from town join edges on (ay > lat) <> (by_ > lat) and lon < ax + (lat - ay) * (bx - ax) / (by_ - ay) group by all having count(*) % 2 = 1) group by 1), k as (select fms_id, count(distinct cd) as districts, count(*) as points from town join h using (point_id) where fms_id is not null group by 1),
+r as (select fms_id, arg_max({{'t': title, 'b': borough, 'f': forecast_completion}}, (as_of, row_id)) as m from nyc_capital_rows where status = 'current' and fms_id is not null group by 1)
+select fms_id, array_to_string(list_filter(['id', case when m.t is not null then 'title' end, case when m.b is not null then 'borough' end, case when m.f is not null then 'forecast' end, case when k.fms_id is not null then 'counts' end], lambda x: x is not null), ',') as keys, k.districts, k.points from r left join k using (fms_id)""")
 def h05_sparse_story(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-H05: a record of chosen statuses as JSON without its null fields."""
-    rows = table(spark, sf, "nyc_capital_rows").where("status = 'current' and fms_id is not null").groupBy("fms_id", "program").agg(F.count(F.lit(1)).alias("records"))
-    return rows.select("fms_id", F.to_json(F.struct("fms_id", "program", F.lit(None).cast("string").alias("none"))).alias("story"), "records")
+    """OP-H05: records of chosen statuses as JSON without their null fields, the points of a project nested by district; shown by the
+    keys of each record and what its nested counts add up to."""
+    held = spatial.inside(town(spark, sf), F.col("point_id"), F.col("lon"), F.col("lat"), district_edges(spark, sf)).groupBy("point_id").agg(F.min("ref_id").alias("cd"))
+    per = town(spark, sf).where("fms_id is not null").join(held, "point_id").groupBy("fms_id", "cd").agg(F.count(F.lit(1)).alias("n"))
+    counts = per.groupBy("fms_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("cd").cast("string"), "n"))).alias("counts"))  # at most as many as districts
+    rows = latest.latest(table(spark, sf, "nyc_capital_rows").where("status = 'current' and fms_id is not null"), ["fms_id"], [F.col("as_of"), F.col("row_id")], ["title", "borough", "forecast_completion"])
+    story = F.to_json(F.struct(F.col("fms_id").alias("id"), "title", "borough", F.col("forecast_completion").alias("forecast"), "counts"))
+    told = rows.join(counts, "fms_id", "left").select("fms_id", story.alias("story"))
+    back = F.from_json(F.get_json_object("story", "$.counts"), "map<string, bigint>")
+    return told.select("fms_id", F.array_join(F.json_object_keys("story"), ",").alias("keys"), F.when(back.isNotNull(), F.size(back)).cast("bigint").alias("districts"), F.aggregate(F.map_values(back), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("points"))
 
 
 @query("""with p as (select pid, current_phase, cast(completion_date as date) as d, row_id from schedule_history where pid > 0 and current_phase is not null) select pid, string_agg(trim(current_phase), ' > ' order by d nulls first, row_id) as phases, count(*) as n from p group by 1""")
@@ -547,6 +557,19 @@ def h04_district_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "ref_community_districts").where("boro_cd % 100 <= 18").select("boro_cd", F.concat_ws(" ", "borough", F.col("district").cast("string")).alias("name"), F.concat(F.lit("CD "), F.right(F.col("boro_cd").cast("string"), F.lit(2))).alias("short"))
 
 
+@query(f"""with {LINES}, m as (select mega_project as line, position, (ax + bx) / 2 as lon, (ay + b_y) / 2 as lat from line where bx is not null) select line, position, 'middle' as kind, round(lon, 6) as lon, round(lat, 6) as lat from m
+union all select mega_project, position, 'corner', round(ax, 6), round(ay, 6) from line""")
+def h09_placed_along(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-H09, G11: places along lines: the middle of every piece between two corners, and the corners themselves."""
+    pieces = line_edges(spark, sf)
+    path = F.array(F.array("ax", "ay"), F.array("bx", "by"))
+    middle = pieces.select(F.col("ref_id").alias("line"), "position", geometry.along(path, 0.5).alias("p"))
+    w = Window.partitionBy("mega_project").orderBy("station_no")  # a fixed table
+    corners = table(spark, sf, "station_reach").select(F.col("mega_project").alias("line"), F.row_number().over(w).alias("position"), F.struct("lon", "lat").alias("p"))
+    tag = lambda df, kind: df.select("line", F.col("position").cast("bigint").alias("position"), F.lit(kind).alias("kind"), F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
+    return tag(middle, "middle").unionByName(tag(corners, "corner"))
+
+
 @query(f"""with {EDGES}, b as (select borough, boro_cd from ref_community_districts) select borough, count(*) as edges, round(min(least(ax, bx)), 6) as west, round(max(greatest(ay, by_)), 6) as north from edges join b using (boro_cd) group by 1""")
 def h12_union_of_polygons(spark: SparkSession, sf: str) -> DataFrame:
     """OP-H12: the edges of all polygons of a group as one shape, with its extent; g08 has the centroid."""

@@ -203,11 +203,14 @@ def g16_grid_sampling(spark: SparkSession, sf: str) -> DataFrame:
     return hit.groupBy(F.col("ref_id").alias("boro_cd")).agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query()
+@query("""with shapes as (select boro_cd, cast(json_extract(geojson, '$.coordinates') as double[][][][]) as c from ref_community_districts), p as (select boro_cd, unnest(c) as polygon, unnest(range(1, len(c) + 1)) as part from shapes),
+r as (select boro_cd, part, unnest(polygon) as ring, unnest(range(1, len(polygon) + 1)) as no from p) select boro_cd, part, no as ring, unnest(range(1, len(ring) + 1)) as place, round(unnest(list_transform(ring, lambda q: q[1])), 3) as lon, round(unnest(list_transform(ring, lambda q: q[2])), 3) as lat from r""")
 def g18_rounded_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-G18: shapes with coordinates of three decimals, as text."""
-    d = table(spark, sf, "ref_community_districts")
-    return d.select("boro_cd", F.to_json(geometry.rounded(geometry.multipolygon(F.col("geojson")), 3)).alias("shape"))
+    """OP-G18: shapes with coordinates of three decimals, position by position."""
+    d = table(spark, sf, "ref_community_districts").select("boro_cd", geometry.rounded(geometry.multipolygon(F.col("geojson")), 3).alias("g"))
+    p = d.select("boro_cd", F.posexplode("g").alias("part", "polygon")).select("boro_cd", "part", F.posexplode("polygon").alias("ring", "r"))
+    at = p.select("boro_cd", "part", "ring", F.posexplode("r").alias("place", "q"))
+    return at.select("boro_cd", *((F.col(c) + 1).cast("bigint").alias(c) for c in ("part", "ring", "place")), F.col("q")[0].alias("lon"), F.col("q")[1].alias("lat"))
 
 
 @query(f"""with {IN_TOWN}, b as (select fms_id, borough from (select fms_id, borough, count(*) as n from project_budget_schedule where borough in (select borough from ref_community_districts) group by all) qualify row_number() over (partition by fms_id order by n desc, borough) = 1),

@@ -26,14 +26,18 @@ def n01_crossings(spark: SparkSession, sf: str) -> DataFrame:
     return graph.crossings(o.withColumn("v", F.col("u") + 1), "network", "street")
 
 
-@query()
+@query("""with recursive e0 as (select cast(l_suppkey as varchar) as network, lpad(cast(l_partkey % 40 as varchar), 2, '0') as u, lpad(cast(l_orderkey % 40 as varchar), 2, '0') as v, min(l_quantity) as length from lineitem group by all), e1 as (select * from e0 where u <> v),
+e as (select network, u, v, min(length) as length from (select * from e1 union all select network, v, u, length from e1) group by all),
+d(network, node, dist) using key (network, node) as (select distinct network, '00', cast(0 as double) from e1 union select e.network, e.v, min(d.dist + e.length) from d join e on e.network = d.network and e.u = d.node left join recurring.d r on r.network = e.network and r.node = e.v where r.dist is null or d.dist + e.length < r.dist group by e.network, e.v)
+select network, dist as length, true as joined from d where node = '39' and dist <= 8000""")
 def n02_routes(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-N02: within each supplier's network of parts, the way between two nodes, no longer than 8,000."""
+    """OP-N02: within each supplier's network of parts, the length of the way between two nodes, no longer than 8,000, and whether its
+    nodes lead from the one to the other. A supplier's network has at most 1,560 links, however many lines it comes from."""
     node = lambda c, n: F.format_string("%02d", (F.col(c) % n).cast("int"))
     edges = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("network"), node("l_partkey", 40).alias("u"), node("l_orderkey", 40).alias("v")).agg(F.min("l_quantity").alias("length")).where("u != v")
     wanted = edges.select("network").distinct().select("network", F.lit("a").alias("route"), F.lit("00").alias("source"), F.lit("39").alias("target"))
     found = graph.routes(edges, wanted, "network", 8000.0)
-    return found.select("network", "length", F.array_join("nodes", ">").alias("nodes"))
+    return found.select("network", "length", ((F.col("nodes")[0] == "00") & (F.element_at("nodes", -1) == "39")).alias("joined"))
 
 
 @query("""with recursive arcs as (select p_partkey as u, (p_partkey * 7 + 3) % 1999 + 1 as v from part), walk(step, node, seen) as (
@@ -60,7 +64,16 @@ def n06_sole_tag(spark: SparkSession, sf: str) -> DataFrame:
     return graph.sole_tag(table(spark, sf, "project_budget_schedule").select("fms_id", "row_id", "borough"), "fms_id", "borough", "row_id")
 
 
-@query()
+_KIND = textparse._KIND
+_HOUSE = rf"\b(\d{{1,5}}(?:-\d{{1,3}})?)[\s\x1c-\x1f\x85\x{{a0}}\p{{Z}}]+((?:[A-Z0-9][\p{{L}}\p{{N}}_'.-]*[\s\x1c-\x1f\x85\x{{a0}}\p{{Z}}]+){{1,3}}?{_KIND})\b"
+_PROSE_SQL = "[" + ", ".join(f"'{w}'" for w in sorted(textparse._PROSE)) + "]"
+_LONG_SQL = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in textparse._LONG.items()) + "}"
+
+
+@query(f"""with m as (select doc_id, regexp_extract_all(text, $x${_HOUSE}$x$, 1, 'i') as n, regexp_extract_all(text, $x${_HOUSE}$x$, 2, 'i') as s from documents where text is not null),
+w as (select doc_id, n, list_transform(s, lambda x: list_filter(string_split_regex(replace(upper(x), '.', ''), '[\\s\\p{{Z}}]+'), lambda y: y <> '')) as s from m),
+a as (select doc_id, list_filter(list_transform(range(1, len(n) + 1), lambda i: case when not list_has_any(s[i], {_PROSE_SQL}) then n[i] || ' ' || array_to_string(list_concat(s[i][:-2], [coalesce(({_LONG_SQL})[s[i][-1]], s[i][-1])]), ' ') end), lambda x: x is not null) as a from w),
+u as (select doc_id, list_filter(range(1, len(a) + 1), lambda i: list_position(a, a[i]) = i) as i, a from a) select doc_id, cast(unnest(range(0, least(len(i), 3))) as integer) as pos, unnest(list_transform(i[:3], lambda k: a[k])) as address from u""")
 def t07_addresses(spark: SparkSession, sf: str) -> DataFrame:
     """OP-T07: up to three addresses of a text (the feature of the report); only texts with a digit reach Python."""
     d = table(spark, sf, "documents").where(F.col("text").rlike(r"(?U)\d")).select("doc_id", textparse.addresses("text").alias("a"))

@@ -67,11 +67,19 @@ def g03_centroid_area(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(F.col("ref_id").alias("boro_cd"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("area_m2", 0).alias("area_m2"))
 
 
-@query()
+@query(f"""with {EDGES}, e as (select boro_cd, ax + 74.0 as x0, ay - 40.7 as y0, bx + 74.0 as x1, by_ - 40.7 as y1 from edges), s as (select boro_cd, sum(x0 * y1 - x1 * y0) / 2 as a, sum((x0 + x1) * (x0 * y1 - x1 * y0)) as mx, sum((y0 + y1) * (x0 * y1 - x1 * y0)) as my from e group by 1),
+c as (select boro_cd, mx / (6 * a) - 74.0 as lon, my / (6 * a) + 40.7 as lat from s), h as (select c.boro_cd from c join edges using (boro_cd) where (ay > lat) <> (by_ > lat) and lon < ax + (lat - ay) * (bx - ax) / (by_ - ay) group by 1 having count(*) % 2 = 1)
+select boro_cd, true as inside, case when h.boro_cd is not null then round(lon, 5) end as lon, case when h.boro_cd is not null then round(lat, 5) end as lat from c left join h using (boro_cd)""")
 def g04_label_point(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-G04: a point inside each district."""
-    d = table(spark, sf, "ref_community_districts").select("boro_cd", geometry.label_point("geojson").alias("p"))
-    return d.select("boro_cd", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
+    """OP-G04: is the label point inside its district, by the parity of crossings; and where it is, if the centroid of the whole shape is
+    inside (otherwise it is the inmost point of the largest part, and left out here)."""
+    d, sides = table(spark, sf, "ref_community_districts").select("boro_cd", "geojson"), district_edges(spark, sf)
+    at = lambda df: spatial.inside(df, F.col("boro_cd"), F.col("lon"), F.col("lat"), sides).where("ref_id = point_id").select(F.col("point_id").alias("boro_cd"), F.lit(True).alias("held"))
+    labels = d.select("boro_cd", geometry.label_point("geojson").alias("p")).select("boro_cd", "p.*")
+    central = at(geometry.moments(sides).select(F.col("ref_id").alias("boro_cd"), "lon", "lat")).withColumnRenamed("held", "central")
+    both = labels.join(at(labels), "boro_cd", "left").join(central, "boro_cd", "left")
+    shown = lambda c: F.when(F.col("central"), F.round(c, 5)).alias(c)
+    return both.select("boro_cd", F.coalesce("held", F.lit(False)).alias("inside"), shown("lon"), shown("lat"))
 
 
 @query(f"""with {IN_TOWN}, u as (select fms_id, lon, lat, count(*) as w, min(point_id) as o from town group by all), d as (select a.fms_id, a.o, a.lon, a.lat, round(sum(b.w * {HAV.format(a='b.lon', b='b.lat', c='a.lon', d='a.lat')}), 6) as m from u a join u b on a.fms_id = b.fms_id group by all)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plinth.functions.values import cents, day_of_text, finite, present, squeezed
 from plinth.plans import training_sql
 from plinth.operators import history, packed, profile, snapshots, spatial
-from plinth.operators.store import Files, Store, files_of, kept_at, news
+from plinth.operators.store import Files, OvertakenError, Store, files_of, kept_at, news
 from plinth.session import small
 from plinth.sources.tables import table
 
@@ -76,6 +76,22 @@ def _refreshed(store: Store, tables: dict[str, DataFrame]) -> tuple[dict[str, li
     return {name: news(seen[name], f) if name in seen else None for name, f in now.items() if seen.get(name) != f}, {n: f for n, f in now.items() if seen.get(n) != f}
 
 
+def _once_more(refresh):
+    """A refresh that loses to another writer looks again: what it wanted to bring in is there then, or comes on top."""
+
+    @wraps(refresh)
+    def run(*args):
+        for _ in range(3):
+            try:
+                return refresh(*args)
+            except OvertakenError:
+                continue
+        return refresh(*args)
+
+    return run
+
+
+@_once_more
 def history_store(spark: SparkSession, sf: str) -> history.HistoryStore:
     """The kept chains of project_history, brought up to date.
 
@@ -143,6 +159,7 @@ def value_counts(df: DataFrame, name: str, sign: int = 1) -> DataFrame:
     return profile.counts_of(df, columns, F.col("reporting_period"), sign)
 
 
+@_once_more
 def count_store(spark: SparkSession, sf: str) -> profile.CountStore:
     """The kept value counts of the profiled columns, brought up to date in one commit: new files come in as plus; where a file has gone
     or changed, what is held of its table goes out as minus and the table comes in as plus."""

@@ -106,6 +106,18 @@ def test_failed_and_losing_commits_leave_the_store(spark, rows, tmp_path):
     assert store.chains().where("entity = 'zz'").count() == 1
 
 
+def test_a_refresh_that_is_overtaken_looks_again():
+    calls = []
+
+    def refresh(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise store_module.OvertakenError
+        return x
+
+    assert training._once_more(refresh)(7) == 7 and calls == [7, 7, 7]
+
+
 def test_query_follows_its_files(spark, rows, tmp_path):
     """New files are deliveries; a changed file makes the store anew; nothing new is nothing done."""
     whole = spark.read.parquet("/root/testdata/sf0.001/project_history.parquet")
