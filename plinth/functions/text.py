@@ -51,7 +51,7 @@ def after_house_number(title: Column, words: Column) -> Column:
     return F.exists(words, lambda w: F.rlike(at, F.concat(F.lit(r"\b\d+[A-Z]?\s+(?:[A-Z]+\s+){0,2}"), w, F.lit(r"\b"))))
 
 
-#: The prefix of an agency before a title: 'DPKS - Sorrel Street Playground'.
+# Fixed value: the pattern of an agency's prefix before a title: 'DPKS - Sorrel Street Playground'.
 AGENCY_PREFIX = r"^\s*([A-Z]{2,6})\s*[-:]\s"
 
 
@@ -72,7 +72,7 @@ ORDINALS = {"FIRST": "1", "SECOND": "2", "THIRD": "3", "FOURTH": "4", "FIFTH": "
 
 
 def spelled_street(text: Column) -> Column:
-    """OP-H01: a street form of glued and spelled-out names: letters and numbers are parted ('E72' -> 'E 72'), ordinal words become
+    """OP-H01: a street form of glued and spelled-out names: letters and numbers are parted ('E41' -> 'E 41'), ordinal words become
     numbers, and the rest goes as in `street`."""
     parted = F.regexp_replace(F.upper(text), r"(?<=[A-Z])(?=\d)", " ")
     words = F.split(F.regexp_replace(parted, r"[^A-Z0-9]+", " "), " ")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.session import cut
+from plinth.session import counted, cut
 
 
 def crossings(edges: DataFrame, network: str, street: str) -> DataFrame:
@@ -128,14 +128,14 @@ def followed(arcs: DataFrame, start) -> DataFrame:
     """
     spark = arcs.sparkSession
     leap = cut(arcs.where("u is not null and v is not null").groupBy("u").agg(F.min("v").alias("v")))
-    way, n = cut(spark.range(1).select(F.lit(0).alias("step"), F.lit(start).cast(arcs.schema["u"].dataType).alias("node"))), 1
+    way, n, size = cut(spark.range(1).select(F.lit(0).alias("step"), F.lit(start).cast(arcs.schema["u"].dataType).alias("node"))), 1, 1
     while True:
         further = way.join(leap, F.col("node") == F.col("u")).select((F.col("step") + n).alias("step"), F.col("v").alias("node"))
-        longer = cut(way.unionByName(further).groupBy("node").agg(F.min("step").alias("step")).select("step", "node"))
-        if longer.count() == way.count():
+        longer, now = counted(way.unionByName(further).groupBy("node").agg(F.min("step").alias("step")).select("step", "node"), F.lit(True))
+        if now == size:
             return longer
         leap = cut(leap.join(leap.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").select("u", F.col("w").alias("v")))
-        way, n = longer, 2 * n
+        way, n, size = longer, 2 * n, now
 
 
 def lineages(links: DataFrame) -> DataFrame:
@@ -151,9 +151,9 @@ def lineages(links: DataFrame) -> DataFrame:
         heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("heard"))
         hooked = labels.join(heard, F.col("node") == F.col("a")).select("node", "label", F.least("label", "heard").alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("label").alias("up"))
-        jumped = cut(hooked.join(up, "low").select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")))
+        jumped, moved = counted(hooked.join(up, "low").select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")), F.col("moved"))
         labels = jumped.drop("moved")
-        if jumped.where("moved").isEmpty():
+        if not moved:
             return labels.withColumnRenamed("label", "lineage")
 
 

@@ -216,10 +216,9 @@ select n as sites, count(*) as orders, round(avg(moved), 6) as moved, round(max(
 def a36_split_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """OP-A36: how much of an entity's money a split by weight moves against an equal one, and what that comes to, by number of sites."""
     s = areas.site_shares(table(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity"), "l_orderkey", "l_extendedprice")
-    per = s.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"), F.collect_list("share").alias("shares"))  # an order's lines
-    off = F.aggregate(F.transform("shares", lambda x: F.abs(x - F.lit(1.0) / F.col("n"))), F.lit(0.0), lambda a, x: a + x)
-    e = per.where("n > 1").select("n", (off / 2).alias("moved"), (off * F.col("q")).alias("err"))
-    return e.groupBy(F.col("n").alias("sites")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.avg("moved"), 6).alias("moved"), F.round(F.max("moved"), 6).alias("most_moved"), F.round(F.sum("err"), 3).alias("split_error"))
+    per = s.groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q")).where("n > 1")
+    off = s.join(per, F.col("l_orderkey") == F.col("k")).groupBy("k", "n", "q").agg(F.sum(F.abs(F.col("share") - F.lit(1.0) / F.col("n"))).alias("off"))
+    return off.groupBy(F.col("n").alias("sites")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.avg(F.col("off") / 2), 6).alias("moved"), F.round(F.max(F.col("off") / 2), 6).alias("most_moved"), F.round(F.sum(F.col("off") * F.col("q")), 3).alias("split_error"))
 
 
 @query("""select row_id, reporting_period = max(reporting_period) over (partition by fms_id) as is_last from project_budget_schedule""")
@@ -254,12 +253,15 @@ def w08_change_since(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("since", F.lag("period").over(change.along(["fms_id"], ["period"]))).select("fms_id", "period", "change", "since")
 
 
-@query("""select row_id, round(budget - coalesce(lag(budget) over (partition by fms_id, source order by period, row_id), 0), 2) as change from project_history where fms_id is not null and budget is not null""")
+@query("""with a as (select fms_id, source, period, arg_max(budget, row_id) as budget from project_history where fms_id is not null and period is not null and budget is not null group by all)
+select fms_id, source, period, round(budget - coalesce(lag(budget) over (partition by fms_id, source order by period), 0), 2) as change from a""")
 def w09_allocation_change(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-W09: the change of an allocation in the order of date and revision; the first one is its own change."""
-    rows = table(spark, sf, "project_history").where("fms_id is not null and budget is not null").select("row_id", "fms_id", "source", "period", "budget")
-    w = change.along(["fms_id", "source"], ["period", "row_id"])
-    return rows.select("row_id", F.round(F.col("budget") - F.coalesce(F.lag("budget").over(w), F.lit(0.0)), 2).alias("change"))
+    """OP-W09: the change of an allocation along its dates, of each date the last revision; the first one is its own change. One row a
+    member and date is left before anything is ordered."""
+    rows = table(spark, sf, "project_history").where("fms_id is not null and period is not null and budget is not null")
+    a = rows.groupBy("fms_id", "source", "period").agg(F.max(F.struct("row_id", "budget"))["budget"].alias("budget"))
+    w = change.along(["fms_id", "source"], ["period"])
+    return a.select("fms_id", "source", "period", F.round(F.col("budget") - F.coalesce(F.lag("budget").over(w), F.lit(0.0)), 2).alias("change"))
 
 
 @query("""with m as (select left(fms_id, 2) as plan, fms_id, period, max(budget) as budget from project_history where fms_id is not null and period is not null group by all), loads as (select distinct period from m), members as (select distinct plan, fms_id from m),
@@ -294,11 +296,12 @@ def o05_ordered_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nyc_capital_rows").where("title is not null").select("row_id", F.array_join(F.array_distinct(F.split(F.upper(F.trim("title")), " ")), " ").alias("words"))
 
 
-@query("""select fms_id, pid, row_id, row_number() over (partition by fms_id, pid, reporting_period order by loaded_at desc, row_id desc) as place from project_budget_schedule""")
-def o06_stable_places(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-O06: places in an order that ends in a unique column, so that ties fall alike in every run; partitions are the deliveries of a record."""
-    w = Window.partitionBy("fms_id", "pid", "reporting_period").orderBy(F.desc("loaded_at"), F.desc("row_id"))
-    return table(spark, sf, "project_budget_schedule").select("fms_id", "pid", "row_id", F.row_number().over(w).cast("bigint").alias("place"))
+@query("""select fms_id, pid, reporting_period, arg_min(row_id, (loaded_at, row_id)) as first_row, arg_max(row_id, (loaded_at, row_id)) as last_row from project_budget_schedule where loaded_at is not null group by all""")
+def o06_stable_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-O06: the ends of an order that has ties, made total by a unique column, so that they fall alike in every run."""
+    order = F.struct("loaded_at", "row_id")
+    ends = table(spark, sf, "project_budget_schedule").where("loaded_at is not null").groupBy("fms_id", "pid", "reporting_period").agg(F.min(order).alias("a"), F.max(order).alias("z"))
+    return ends.select("fms_id", "pid", "reporting_period", F.col("a.row_id").alias("first_row"), F.col("z.row_id").alias("last_row"))
 
 
 @query("""select 'point' as kind, fms_id, count(*) as n from loc_cpdb_points group by all union all select 'record', fms_id, count(*) from nyc_capital_rows group by all""")

@@ -522,13 +522,13 @@ def h05_sparse_story(spark: SparkSession, sf: str) -> DataFrame:
     return told.select("fms_id", F.array_join(F.json_object_keys("story"), ",").alias("keys"), F.when(back.isNotNull(), F.size(back)).cast("bigint").alias("districts"), F.aggregate(F.map_values(back), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("points"))
 
 
-@query("""with p as (select pid, current_phase, cast(completion_date as date) as d, row_id from schedule_history where pid > 0 and current_phase is not null) select pid, string_agg(trim(current_phase), ' > ' order by d nulls first, row_id) as phases, count(*) as n from p group by 1""")
+@query("""with p as (select pid, reporting_period, arg_max(trim(current_phase), (loaded_at, row_id)) as phase from schedule_history where pid > 0 and current_phase is not null and reporting_period is not null and loaded_at is not null group by all) select pid, string_agg(phase, ' > ' order by reporting_period) as phases, count(*) as n from p group by 1""")
 def h06_nested_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-H06: a project's phases nested in their order. Reports of one schedule are as many as periods."""
-    rows = table(spark, sf, "schedule_history").where("pid > 0 and current_phase is not null")
-    x = rows.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct(F.to_date("completion_date").alias("d"), "row_id", F.trim("current_phase").alias("p")))).alias("x"))
-    ordered = F.array_sort("x", lambda a, b: F.when(a["d"].isNull() & b["d"].isNotNull(), -1).when(a["d"].isNotNull() & b["d"].isNull(), 1).when(a["d"] < b["d"], -1).when(a["d"] > b["d"], 1).when(a["row_id"] < b["row_id"], -1).otherwise(1))
-    return x.select("pid", F.array_join(F.transform(ordered, lambda r: r["p"]), " > ").alias("phases"), F.size("x").cast("bigint").alias("n"))
+    """OP-H06: a schedule's phases nested in their order: one a report, the last delivered, so that as many are gathered as there are reports."""
+    rows = table(spark, sf, "schedule_history").where("pid > 0 and current_phase is not null and reporting_period is not null and loaded_at is not null")
+    per = latest.latest(rows.withColumn("phase", F.trim("current_phase")), ["pid", "reporting_period"], [F.col("loaded_at"), F.col("row_id")], ["phase"])
+    x = per.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("reporting_period", "phase"))).alias("x"))
+    return x.select("pid", F.array_join(F.transform("x", lambda r: r["phase"]), " > ").alias("phases"), F.size("x").cast("bigint").alias("n"))
 
 
 @query(f"""select 'records' as program, fms_id as id, status, case when {_RANK_SQL.format('phase')} <= 3 then 'before' when {_RANK_SQL.format('phase')} = 4 then 'building' when {_RANK_SQL.format('phase')} >= 5 then 'done' else 'unknown' end as phase_group, round({_fin('budget')}, 2) as budget from nyc_capital_rows
@@ -588,6 +588,19 @@ def h17_district_weights(spark: SparkSession, sf: str) -> DataFrame:
     return areas.normalised(n, ["fms_id"], "n").join(F.broadcast(d), "boro_cd").select("fms_id", "boro_cd", "borough", F.col("share").alias("weight"))
 
 
+@query("""with s as (select mega_project, station_no, station, lon as ax, lat as ay, lead(lon) over w as bx, lead(lat) over w as b_y, lead(station_no) over w as nxt from station_reach window w as (partition by mega_project order by station_no)),
+m as (select mega_project as line, station_no as from_no, nxt as to_no, sqrt(pow((bx - ax) * cos(radians((ay + b_y) / 2)), 2) + pow(b_y - ay, 2)) * 6371000.0 * pi() / 180 as m from s where nxt is not null)
+select line, from_no, to_no, round(m, 1) as length_m, round(sum(m) over (partition by line order by from_no rows unbounded preceding), 1) as upto_m from m""")
+def h18_route_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-H18: the pieces of each route with their lengths and how far along the route they end. Lines are a fixed table."""
+    w = Window.partitionBy("mega_project").orderBy("station_no")
+    ends = F.array(F.array("lon", "lat"), F.array(F.lead("lon").over(w), F.lead("lat").over(w)))
+    s = table(spark, sf, "station_reach").select(F.col("mega_project").alias("line"), F.col("station_no").alias("from_no"), F.lead("station_no").over(w).alias("to_no"), ends.alias("p")).where("to_no is not null")
+    m = s.withColumn("m", geometry.length_m(F.col("p")))
+    sofar = Window.partitionBy("line").orderBy("from_no").rowsBetween(Window.unboundedPreceding, 0)
+    return m.select("line", "from_no", "to_no", F.round("m", 1).alias("length_m"), F.round(F.sum("m").over(sofar), 1).alias("upto_m"))
+
+
 @query("""with s as (select o_custkey, o_orderpriority, sum(o_totalprice) as v from orders group by all) select o_custkey, o_orderpriority, v / sum(v) over (partition by o_custkey) as share from s""")
 def h19_normalised(spark: SparkSession, sf: str) -> DataFrame:
     """OP-H19: a distribution as shares of each key's sum."""

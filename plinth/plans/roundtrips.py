@@ -14,7 +14,7 @@ from plinth.functions import textparse
 from plinth.operators import rules, spatial
 from plinth.plans.book import Book
 from plinth.session import shared_dir
-from plinth.sources import files
+from plinth.sources import files, paged
 from plinth.sources.tables import require_columns, table
 
 BOOK = Book()
@@ -71,9 +71,10 @@ def s03_json_array(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select fms_id, lon, lat, count(*) as n from loc_cpdb_points where lon between -75 and -73 and lat between 40 and 42 and fms_id is not null group by all")
 def s04_multipoints(spark: SparkSession, sf: str) -> DataFrame:
-    """OP-S04: MultiPoint texts, a row for each position inside a box; a text holds the places of one hash part of a project."""
+    """OP-S04: MultiPoint texts, a row for each position inside a box; a text holds about 500 places of a project at most."""
     p = points(spark, sf).where("fms_id is not null")
-    shapes = p.groupBy("fms_id", F.pmod(F.xxhash64("point_id"), F.lit(64)).alias("part")).agg(F.to_json(F.struct(F.lit("MultiPoint").alias("type"), F.collect_list(F.array("lon", "lat")).alias("coordinates"))).alias("g"))
+    sizes = p.groupBy("fms_id").agg(F.ceil(F.count(F.lit(1)) / 500).alias("parts"))
+    shapes = p.join(sizes, "fms_id").groupBy("fms_id", F.pmod(F.xxhash64("point_id"), F.col("parts")).alias("part")).agg(F.to_json(F.struct(F.lit("MultiPoint").alias("type"), F.collect_list(F.array("lon", "lat")).alias("coordinates"))).alias("g"))
     return files.multipoints(shapes, F.col("g"), -75, 40, -73, 42).groupBy("fms_id", "lon", "lat").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -152,6 +153,27 @@ def s12_clean_headers(spark: SparkSession, sf: str) -> DataFrame:
     return files.clean_names(rows.toDF("﻿Station No", " STATION ", "Residents", "residents")).select("station_no", "station", "residents_2")
 
 
+def pages_of(spark: SparkSession, sf: str, pages: int) -> str:
+    """The stations, a fixed table, as pages of JSON lines in the shared folder; the template of their addresses."""
+    rows = [r.asDict() for r in table(spark, sf, "station_reach").select("station_no", "mega_project", "residents").collect()]
+    at = fresh(spark)
+    for i in range(pages):
+        put(spark, f"{at}/{i}.json", "\n".join(json.dumps(r) for r in rows[i::pages]).encode())
+    return (at if "://" in at or at.startswith("file:") else f"file://{at}") + "/{page}.json"
+
+
+@query("select station_no, mega_project from station_reach where mega_project = 'Northern Spur'")
+def s13_paged_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-S13: pages of a source, one a task, asked for two columns and one value."""
+    return paged.read_pages(spark, pages_of(spark, sf, 5), 5, "station_no int, mega_project string", ("mega_project", "Northern Spur"))
+
+
+@query("select station_no, residents from station_reach")
+def s17_retried_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """OP-S17: pages that fail twice before they come."""
+    return paged.read_pages(spark, pages_of(spark, sf, 3), 3, "station_no int, residents int", failsFirst=2)
+
+
 @query("select l_suppkey, year(l_shipdate) * 100 + month(l_shipdate) as month, sum(l_linenumber) as n from lineitem group by all")
 def s14_summed_at_source(spark: SparkSession, sf: str) -> DataFrame:
     """OP-S14: a large source summed where it lies: only sums are shuffled."""

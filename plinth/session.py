@@ -75,6 +75,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame, which: Column) -> tuple[DataFrame, int]:
+    """df, written to the shared folder, and how many of its rows `which` is true for, told by the job that writes it."""
+    seen = Observation()
+    written = cut(df.observe(seen, F.count_if(which).alias("n")))
+    return written, seen.get["n"]
+
+
 def _width(df: DataFrame) -> Column:
     """The bytes of a row, near enough: eight a value, and the lengths of texts and of what is nested."""
     plain = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]

@@ -67,3 +67,23 @@ def test_streams(spark, rows, tmp_path):
     reports.upsert_latest(stream, str(tmp_path / "out"), str(tmp_path / "c2"), ["k"], ["t"]).awaitTermination()
     last = max((tmp_path / "out").iterdir())
     assert rows(spark.read.parquet(str(last))) == [("a", 3, 6), ("b", 2, 7)]
+
+
+def test_retries():
+    from plinth.sources import paged
+
+    calls = []
+
+    def fetch(fails):
+        calls.append(1)
+        if len(calls) <= fails:
+            raise TimeoutError
+        return b"x"
+
+    assert paged.with_retries(lambda: fetch(2), tries=3, wait=0) == b"x" and len(calls) == 3
+    calls.clear()
+    with pytest.raises(TimeoutError):
+        paged.with_retries(lambda: fetch(9), tries=3, wait=0)
+    assert len(calls) == 3
+    with pytest.raises(KeyError):  # not a failure that passes
+        paged.with_retries(lambda: {}["x"], tries=3, wait=0)
