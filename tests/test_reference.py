@@ -21,7 +21,7 @@ def test_dates(spark):
     assert [r.d for r in two.select(periods.partial_difference(periods.partial_date(F.col("a")), periods.partial_date(F.col("b"))).alias("d")).collect()] == [730, 4, 31]
     assert one(spark, periods.month_end(F.col("x")), 202402, "int") == dt.date(2024, 2, 29) and one(spark, periods.month_start(F.col("x")), 202413, "int") is None
     assert tuple(one(spark, periods.month_field(F.col("x"), F.lit("2027")), "8")) == ("2027-08", None)
-    assert one(spark, periods.month_field(F.col("x"), F.lit("2027")), "13").issue == "no month" and one(spark, periods.month_field(F.col("x"), F.lit("1920")), "2").issue == "no plausible year"
+    assert one(spark, periods.month_field(F.col("x"), F.lit("2027")), "13").issue == "month '13', year '2027'" and one(spark, periods.month_field(F.col("x"), F.lit("1920")), "2").issue == "month '2', year '1920'"
     assert one(spark, periods.utc_day(F.col("x")), 86399, "bigint") == dt.date(1970, 1, 1) and one(spark, periods.quarter_start(F.col("x")), "2024Q3") == dt.date(2024, 7, 1)
     for t, d in {" 2023-08-15": (2023, 8, 15), "20231231": (2023, 12, 31), "1/9/2026": (2026, 1, 9), "01-Dec-2027": (2027, 12, 1), "Apr 2, 2030": (2030, 4, 2), "2023-08-04 00:00:00": (2023, 8, 4), "2023-08-04T01:02:03": (2023, 8, 4)}.items():
         assert one(spark, values.day_of_text(F.col("x")), t) == dt.date(*d), t
@@ -41,7 +41,7 @@ def test_money_and_missing(spark):
 
 
 def test_text(spark):
-    assert one(spark, text.street(F.col("x")), "East 72nd Street") == "E 72 ST" and one(spark, text.street(F.col("x")), "11st Avenue") == "11ST AV" and one(spark, text.street(F.col("x")), "111th Road") == "111 RD"
+    assert one(spark, text.street(F.col("x")), "East 41st Street") == "E 41 ST" and one(spark, text.street(F.col("x")), "11st Avenue") == "11 ST AVE" and one(spark, text.street(F.col("x")), "111th Road") == "111 RD"
     assert one(spark, text.tokens(F.col("x")), "P.S. 12-b at Main") == ["12", "AT", "MAIN"]
     assert one(spark, text.sorted_ids(F.col("x")), " b, a,,NULL, b") == ["a", "b"] and one(spark, text.letters_key(F.col("x")), "(Close-Out) 2") == "closeout"
 
