@@ -35,8 +35,8 @@ def _project_survivors(spark: SparkSession, sf: str) -> DataFrame:
         survivor.Bundle("managing_agency", agency),
         survivor.Bundle("total_budget", _money("total_budget")),
         survivor.Bundle("agencies", agency & present(F.col("sponsor_agency")).isNotNull()),
-        survivor.Bundle("borough", borough.isNotNull(), borough),
-        survivor.Bundle("community_board", board.isNotNull(), board),
+        survivor.Bundle("borough", borough.isNotNull(), borough, tuple(names)),
+        survivor.Bundle("community_board", board.isNotNull(), board, tuple(names)),
     ]
     return survivor.survivors(projects, {c: F.col(c) for c in ("fms_id", "reporting_period", "pid")}, bundles, F.col("trust_rank"), F.col("loaded_at"), F.col("row_id"))
 

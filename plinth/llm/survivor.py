@@ -7,9 +7,9 @@ field); the bundles chosen for a group have to agree on it. Branch and bound ove
 trust, for all bundles of a group at once. A bundle of an independent field has no context and agrees with any.
 
 Only the best candidate of each bundle and context can be in the best choice, so rows are first brought down to these by a minimum
-that is combined before the shuffle; a second aggregation lays the candidates of a group side by side. Contexts are values of a closed
-domain (here the boroughs of a fixed table), so what a group holds then depends on that domain, not on the number of its rows. The
-search takes all groups of an Arrow batch through the bundles together, in numpy.
+that is combined before the shuffle. Contexts are values of a closed domain (here the boroughs of a fixed table), so what a group holds
+then depends on that domain, not on the number of its rows: where the domain is given, there is a column for each of its values and one
+shuffle; otherwise a second aggregation lays the candidates of a group side by side. The search takes all groups of an Arrow batch through the bundles together, in numpy.
 
 Defined results: nulls in a group key are equal; rows that repeat wholly differ by row id only; a bundle without a usable value
 has no survivor; a context of null agrees with any; sources without a trust rank come last; empty tables give no rows.
@@ -32,11 +32,13 @@ UNRANKED = 1_000_000
 
 @dataclass(frozen=True)
 class Bundle:
-    """Fields that survive together. usable: is the row a candidate? context: the value, of a closed domain, that the bundle determines."""
+    """Fields that survive together. usable: is the row a candidate? context: the value, of a closed domain, that the bundle determines.
+    domain: the values of that domain, where they are known; a row with another context is no candidate then."""
 
     name: str
     usable: Column
     context: Column | None = None
+    domain: tuple[str, ...] | None = None
 
 
 def _standing(rank: Column, when: Column, row_id: Column) -> Column:
@@ -49,20 +51,31 @@ def survivors(df: DataFrame, keys: dict[str, Column], bundles: Sequence[Bundle],
     ks = [f"k{i}" for i in range(len(keys))]
     grouped = [c.alias(k) for c, k in zip(keys.values(), ks, strict=True)]
     best = _standing(rank, when, row_id)
-    bound = [i for i, b in enumerate(bundles) if b.context is not None]
-    least_of = [F.min(F.when(b.usable, best)).alias(f"s{i}") for i, b in enumerate(bundles)]
+    cell = lambda i, c, s: F.struct(F.lit(i).alias("b"), c.cast("string").alias("context"), s["rank"].alias("rank"), s["late"].alias("late"), s["row_id"].alias("row_id"))
+    free = [i for i, b in enumerate(bundles) if b.context is None]
+    wide = [i for i, b in enumerate(bundles) if b.context is not None and b.domain is not None]
+    bound = [i for i, b in enumerate(bundles) if b.context is not None and b.domain is None]
+    mins = [F.min(F.when(bundles[i].usable, best)).alias(f"s{i}") for i in free]
+    cells = [cell(i, F.lit(None), F.col(f"s{i}")) for i in free]
+    for i in wide:
+        b = bundles[i]
+        for j, value in enumerate((None, *b.domain)):
+            here = b.context.isNull() if value is None else b.context == value
+            mins.append(F.min(F.when(b.usable & here, best)).alias(f"s{i}_{j}"))
+            cells.append(cell(i, F.lit(value), F.col(f"s{i}_{j}")))
+    count = F.count(F.lit(1)).alias("n")
+    parts = [F.array(*cells)] if cells else []
     if bound:
         contexts = [F.when(bundles[i].usable, bundles[i].context.cast("string")).alias(f"c{i}") for i in bound]
-        lean = df.groupBy(*grouped, *contexts).agg(F.count(F.lit(1)).alias("n"), *least_of)
+        lean = df.groupBy(*grouped, *contexts).agg(count, *mins, *(F.min(F.when(bundles[i].usable, best)).alias(f"s{i}") for i in bound))
         met = F.collect_list(F.struct(*(F.col(f"{x}{i}") for i in bound for x in "cs"))).alias("met")
-        folded = lean.groupBy(*ks).agg(F.sum("n").alias("n"), *(F.min(f"s{i}").alias(f"s{i}") for i in range(len(bundles)) if i not in bound), met)
+        names = [c for c in lean.columns if c.startswith("s") and c not in {f"s{i}" for i in bound}]
+        folded = lean.groupBy(*ks).agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in names), met)
+        of_met = lambda i: lambda m: cell(i, m[f"c{i}"], m[f"s{i}"])
+        parts += [F.transform("met", of_met(i)) for i in bound]
     else:
-        folded = df.groupBy(*grouped).agg(F.count(F.lit(1)).alias("n"), *least_of)
-    cell = lambda i, c, s: F.struct(F.lit(i).alias("b"), c.cast("string").alias("context"), s["rank"].alias("rank"), s["late"].alias("late"), s["row_id"].alias("row_id"))
-    of_met = lambda i: lambda m: cell(i, m[f"c{i}"], m[f"s{i}"])
-    free = F.array(*(cell(i, F.lit(None), F.col(f"s{i}")) for i in range(len(bundles)) if i not in bound))
-    every = F.concat(free, *(F.transform("met", of_met(i)) for i in bound))
-    groups = folded.where(F.col("n") >= least).select(*ks, F.filter(every, lambda x: x["row_id"].isNotNull()).alias("g"))
+        folded = df.groupBy(*grouped).agg(count, *mins)
+    groups = folded.where(F.col("n") >= least).select(*ks, F.filter(F.concat(*parts), lambda x: x["row_id"].isNotNull()).alias("g"))
     names = [b.name for b in bundles]
     schema = T.StructType([T.StructField(n, groups.schema[k].dataType) for n, k in zip(keys, ks, strict=True)] + [T.StructField("bundle", T.StringType()), T.StructField("row_id", T.LongType())])
 

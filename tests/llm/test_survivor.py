@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 from plinth.llm import survivor
 
 KIND = "k string, row_id bigint, rank int, at timestamp_ntz, agency string, board string, borough string, n int, b int, bundle string"
-def bundles():
+def bundles(domains=(None, None)):
     return [
         survivor.Bundle("agency", F.col("agency").isNotNull()),
-        survivor.Bundle("board", F.col("board").isNotNull(), F.nullif(F.split("board", " ")[0], F.lit("any"))),
-        survivor.Bundle("borough", F.col("borough").isNotNull(), F.col("borough")),
+        survivor.Bundle("board", F.col("board").isNotNull(), F.nullif(F.split("board", " ")[0], F.lit("any")), domains[0]),
+        survivor.Bundle("borough", F.col("borough").isNotNull(), F.col("borough"), domains[1]),
     ]
 OUT = survivor.UNRANKED + 1
 
 
-def run(spark, data, **more):
+def run(spark, data, domains=(None, None)):
     import datetime as dt
 
     rows = [(k, i, r, dt.datetime(2024, 1, 1) + dt.timedelta(days=t) if t is not None else None, a, b, c, 0, 0, "") for k, i, r, t, a, b, c in data]
     df = spark.createDataFrame(rows, KIND)
-    got = survivor.survivors(df, {"k": F.col("k")}, bundles(), F.col("rank"), F.col("at"), F.col("row_id"), **more)
+    got = survivor.survivors(df, {"k": F.col("k")}, bundles(domains), F.col("rank"), F.col("at"), F.col("row_id"))
     return sorted(((r.k or "", r.bundle, r.row_id) for r in got.collect()))
 
 
@@ -56,7 +56,8 @@ def generated(seed, n=150):
 
 def test_against_enumeration(spark):
     for data in (generated(1), generated(2, 12), generated(3, 9)):
-        assert run(spark, data) == by_hand(data)
+        for domains in ((None, None), (("Q", "B"), ("Q", "B", "M")), (None, ("Q", "B", "M"))):
+            assert run(spark, data, domains) == by_hand(data)
 
 
 def test_many_contexts(spark):
