@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,14 @@ from pyspark.sql import functions as F
 from plinth.functions import geometry
 from plinth.functions.values import fingerprint
 
+#: What a null is while a CSV is read. Spark takes texts equal to it for null; its default, the empty text, would make "" null too.
+_NULL = f"null {uuid.uuid4().hex}"
+
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, separator: str = ",", renamed: Mapping[str, str] | None = None) -> DataFrame:
-    """OP-S01, S02: CSV with a header. A schema in DDL form is the rule; without one, types are inferred (for exploration)."""
-    reader = spark.read.option("header", True).option("sep", separator).option("quote", '"').option("escape", '"').option("multiLine", True).option("encoding", "UTF-8")
+    """OP-S01, S02: CSV with a header. A schema in DDL form is the rule; without one, types are inferred (for exploration).
+    A field without characters is null; "" is an empty text, and null in a column that is no text."""
+    reader = spark.read.option("header", True).option("nullValue", _NULL).option("sep", separator).option("quote", '"').option("escape", '"').option("multiLine", True).option("encoding", "UTF-8")
     df = reader.schema(schema).option("enforceSchema", False).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     return df.withColumnsRenamed(dict(renamed or {}))
 
@@ -152,7 +157,7 @@ def write_json(df: DataFrame, path: str, manifest: str | None = None) -> dict:
 
 
 def write_csv(df: DataFrame, path: str, key: Sequence[str]) -> None:
-    """OP-S22: CSV sorted by key, for review; range-sorted parts, in the order of their names."""
+    """OP-S22: CSV sorted by key, for review; range-sorted parts, in the order of their names. An empty text is "", null is nothing."""
     df.orderBy(*key).write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 

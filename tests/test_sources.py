@@ -19,6 +19,17 @@ def test_csv_json_and_names(spark, rows, tmp_path):
     assert rows(files.read_rules(spark, str(tmp_path / "r.csv"), "pattern string, label string")) == [("a", "2", 2), ("z", "1", 1)]
 
 
+def test_csv_tells_empty_texts_from_nulls(spark, rows, tmp_path):
+    kind = "k int, t string, u string, v double"
+    df = spark.createDataFrame([(1, "", None, float("nan")), (2, None, "", None), (3, " ", '""', 0.5), (None, "a\nb", "\\", 1.0)], kind)
+    files.write_csv(df, str(tmp_path / "c"), ["k"])
+    assert rows(files.read_csv(spark, str(tmp_path / "c"), kind)) == rows(df)
+    (tmp_path / "a.csv").write_text('k,t,v\n"","",""\n,,\n7,null,2.5\n')
+    want = [(None, None, None), (None, "", None), (7, "null", 2.5)]
+    assert rows(files.read_csv(spark, str(tmp_path / "a.csv"), "k int, t string, v double")) == want
+    assert rows(files.read_csv(spark, str(tmp_path / "a.csv"))) == want
+
+
 def test_releases(spark, rows, tmp_path):
     aliases = {"id": ["fms_id", "project_id"], "budget": ["total", "amount"], "none": ["absent"]}
     (tmp_path / "a.csv").write_text("Project ID,Amount\nA,5\n")
